@@ -182,13 +182,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     if keep_first:
         one = alike.groupBy("key").agg(F.min(F.struct("d", "t", "start")).alias("one"))
         alike = alike.join(one, "key").where(F.struct("d", "t", "start") != F.col("one"))
-    salts = F.ceil(F.col("n") / GROUP).cast("int")
-    fine = found.where("several").withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    fine = fine.select("key", "salt", "salts", "context", "d", "t", "start", "last", "offset", "bytes")
+    several = found.where("several")
+    contexts = materialize(several.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "start")).alias("one")), "contexts")
+    salts = contexts.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    # one row for each context carries its bytes on
+    ones = contexts.select("key", "context", "one.*").join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    fine = several.drop("n", "several").join(ones, ["key", "context", "d", "t", "start"]).select("key", "salt", "salts", "context", "d", "t", "start", "last", "offset", "bytes")
     order = ["key", "salt", "context", "d", "t", "start"]
     compared = fine.repartition("key", "salt").sortWithinPartitions(*order).mapInArrow(_compared(length, keep_first), "d long, t long, start long, stop long")
-    again = found.where("several").groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "start")).alias("one")).where("copies > 1")
-    again = found.where("several").select("key", "context", "d", "t", "start", "last").join(again, ["key", "context"])
+    again = several.select("key", "context", "d", "t", "start", "last").join(contexts.where("copies > 1"), ["key", "context"])
     if keep_first:
         again = again.where(F.struct("d", "t", "start") != F.col("one"))
     return alike.select("d", "t", "start", stop).union(compared).union(again.select("d", "t", "start", stop))
