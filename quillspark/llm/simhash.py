@@ -1,9 +1,9 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints at d <= 3 bits are joined without comparing pairs. The 64 bits are cut into four blocks. Each distinct
-fingerprint emits, for every block, its other 48 bits and all their one-bit variants (half the radius): 4 * 49 rows. Two
+Fingerprints at d <= 3 bits are joined without comparing pairs. The 64 bits are cut into three blocks. Each distinct
+fingerprint emits, for every block, its other bits and all their one-bit variants (half the radius): 131 rows. Two
 fingerprints at d <= 3 always share such a variant in a block that holds one of their differing bits, or, when all three
-differences fall in one block, the unchanged 48 bits. Members of a variant whose block values are equal differ in at
+differences fall in one block, the unchanged other bits. Members of a variant whose block values are equal differ in at
 most two bits, those whose values differ in one bit differ in at most three: both are links by construction. So each
 variant needs one link per member and per neighbouring block value, never all pairs. The full ball of radius two would be
 2,081 rows a fingerprint; the block turns its second half step into a lookup within a variant.
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.util import connected_components, materialize, table, text_bytes
 
 SHINGLE, SEED = 3, 42
-_BLOCKS = 4
-_FULL48 = (1 << 48) - 1
+_BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 
 
 def simhash(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -61,25 +60,28 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_batches(width, seed), "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _balls():
-    """One literal for each block and flip: the block, the flip, the bits below the block."""
+    """One literal for each block and flip: the block, its first bit and width, the bits below it and the block's values, the flip."""
     out = []
-    for b in range(_BLOCKS):
-        low = (1 << 16 * b) - 1
-        for i in [None, *(i for i in range(64) if i // 16 != b)]:
-            flip = 0 if i is None else 1 << i
-            out.append(F.struct(F.lit(b).alias("b"), F.lit(flip - (1 << 64) if flip >> 63 else flip).cast("long").alias("f"), F.lit(low).cast("long").alias("low")))
+    for b, (first, width) in enumerate(_BLOCKS):
+        for i in [None, *(i for i in range(64) if not first <= i < first + width)]:
+            parts = {"b": b, "first": first, "width": width, "low": (1 << first) - 1, "values": (1 << width) - 1, "f": 0 if i is None else _signed(1 << i)}
+            out.append(F.struct(*[F.lit(v).cast("int" if k in ("first", "width") else "long").alias(k) for k, v in parts.items()]))
     return F.explode(F.array(*out))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long, each once) that connect all those within three bits."""
-    z = F.expr("fp ^ x.f")
-    rest = z.bitwiseAND(F.col("x.low")).bitwiseOR(F.shiftrightunsigned(z, 16).bitwiseAND(F.lit(_FULL48)).bitwiseAND(F.bitwise_not(F.col("x.low"))))
+    # the bits below the block, then those above it in the block's place; the block's number on top
+    key = "((fp ^ x.f) & x.low) | (shiftrightunsigned(fp ^ x.f, x.width) & ~x.low) | shiftleft(x.b, 60)"
     rows = fps.select("fp", _balls().alias("x")).select(
         "fp",
-        F.shiftleft(F.col("x.b").cast("long"), 48).bitwiseOR(rest).alias("key"),
-        F.expr("cast(shiftrightunsigned(fp, 16 * x.b) & 65535 as int)").alias("v"),
+        F.expr(key).alias("key"),
+        F.expr("cast(shiftrightunsigned(fp, x.first) & x.values as int)").alias("v"),
         (F.col("x.f") == 0).alias("own"),
     )
     w = Window.partitionBy("key")
@@ -91,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
     own = shared.where("own and spread").select("key", "v", F.col("fp").alias("low"))
 
     def variants(df: DataFrame, most: int) -> DataFrame:
-        flips = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(16), k)]
+        flips = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(22), k)]
         return df.select("key", "v", "low", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("key", F.col("v").bitwiseXOR(F.col("flip")).alias("v"), F.col("low").alias("other"))
 
     step = low.join(variants(low, 1), ["key", "v"]).select(F.col("low").alias("a"), F.col("other").alias("b"))
