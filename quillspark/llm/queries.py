@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, merkle, mixing, quality, repeats, secrets, simhash, token_count, toxicity
+from quillspark.llm import decontaminate, merkle, mixing, passages, quality, repeats, secrets, simhash, token_count, toxicity
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_fingerprints": merkle.op2_fingerprints,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
