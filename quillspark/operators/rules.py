@@ -1,0 +1,89 @@
+"""Rule issues on Han documents, their scores, routing and the sentences with most signals. The lexicons are small ones of our own."""
+
+from __future__ import annotations
+
+from quillspark.functions.dialect import Spark
+from quillspark.operators.statistics import entropy, occurrences
+
+PHRASES = (
+    ("mechanical_connectors", "critical", ("总而言之", "综上所述", "值得注意的是")), ("empty_grand_words", "critical", ("重要意义", "提升")),
+    ("ai_high_freq_words", "high", ("因此", "进一步")), ("filler_phrases", "high", ("在一定程度上", "这就是")), ("academic_phrases", "critical", ("研究表明", "数据显示", "本文提出")),
+)
+PATTERNS = (("three_part_structure", "critical", "(?s)首先.*?其次.*?最后"), ("balanced_arguments", "high", "(?s)一方面.*?另一方面"), ("template_sentences", "high", "[一-鿿]{2,6}具有[一-鿿]{2,6}"), ("passive_overuse", "high", "被[一-鿿]{1,4}"), ("citations", "info", "（[12][0-9]{3}）"))
+WEIGHT = {"critical": 8, "high": 4, "medium": 2, "style": 1.5, "info": 0}
+HEDGES = ("可能", "也许", "或许", "大概")
+
+
+def _weight(c: str = "severity") -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHT.items()) + " ELSE 0 END"
+
+
+def issues(x: Spark) -> str:
+    """(doc_id, category, severity, text, cnt)."""
+    parts = [f"SELECT doc_id, '{c}' AS category, '{s}' AS severity, '{p}' AS text, {occurrences('text', p)} AS cnt FROM han" for c, s, ps in PHRASES for p in ps]
+    parts += [f"SELECT doc_id, '{c}', '{s}', '{c}', {x.count('text', p)} FROM han" for c, s, p in PATTERNS]
+    parts.append(f"SELECT doc_id, 'hedging_language', 'medium', 'hedges', n FROM (SELECT doc_id, {' + '.join(occurrences('text', p) for p in HEDGES)} AS n FROM han) t WHERE n >= 2")
+    parts.append(f"SELECT doc_id, 'punctuation_overuse', 'medium', 'dash', CAST(1 AS BIGINT) FROM han WHERE length(h) > 0 AND 100.0 * {occurrences('text', '—')} / length(h) > 1.0")
+    parts.append(f"SELECT doc_id, 'punctuation_overuse', 'medium', 'semicolon', CAST(1 AS BIGINT) FROM han WHERE length(h) > 0 AND 100.0 * {occurrences('text', '；')} / length(h) > 0.5")
+    parts.append(f"SELECT doc_id, 'uniform_paragraphs', 'style', 'cv', CAST(1 AS BIGINT) FROM (SELECT doc_id, length(s) AS n FROM hparas WHERE length(s) > 5) t GROUP BY doc_id HAVING count(*) >= 3 AND stddev_pop(n) / avg(n) < 0.2")
+    parts.append(f"SELECT doc_id, 'low_burstiness', 'style', 'cv', CAST(1 AS BIGINT) FROM (SELECT doc_id, {x.count('s', '[一-鿿]')} AS n FROM hsents) t GROUP BY doc_id HAVING count(*) > 5 AND stddev_pop(n) / avg(n) < 0.25")
+    parts.append("SELECT doc_id, 'repetitive_starters', 'style', g, max(n) FROM (SELECT doc_id, substr(s, 1, 2) AS g, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS w FROM hsents GROUP BY doc_id, substr(s, 1, 2)) t WHERE w > 5 AND n >= 3 GROUP BY doc_id, g")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) i WHERE cnt > 0"
+
+
+def _level(c: str) -> str:
+    return f"CASE WHEN {c} >= 75 THEN 'very_high' WHEN {c} >= 50 THEN 'high' WHEN {c} >= 25 THEN 'medium' ELSE 'low' END"
+
+
+def _score(x: Spark) -> str:
+    return f"""SELECT doc_id, rule_score, {_level('rule_score')} AS level FROM (SELECT f.doc_id, least(60, {x.down('coalesce(raw, 0)')}) AS rule_score FROM fx f
+        LEFT JOIN (SELECT doc_id, CAST(sum({_weight()} * least(cnt, 5)) AS DOUBLE) AS raw FROM ({issues(x)}) q GROUP BY doc_id) r ON r.doc_id = f.doc_id) t"""
+
+
+def _worst(x: Spark) -> str:
+    score = " + ".join([f"CASE WHEN {occurrences('s', p)} > 0 THEN 3 ELSE 0 END" for _, _, ps in PHRASES for p in ps] + [f"CASE WHEN {x.like('s', p)} THEN 5 ELSE 0 END" for _, _, p in PATTERNS])
+    return f"SELECT doc_id, rnk, score, sent FROM (SELECT doc_id, score, sent, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS BIGINT) AS rnk FROM (SELECT doc_id, idx, s AS sent, {score} AS score FROM hsents) a WHERE score > 0) b WHERE rnk <= 3"
+
+
+def _academic(x: Spark) -> str:
+    certain, hedge, tail = occurrences("text", "显著"), " + ".join(occurrences("text", p) for p in HEDGES), "substr(text, CAST(floor(length(text) * 0.8) AS INTEGER) + 1)"
+    dims = [
+        ("ai_academic_phrases", "critical", " + ".join(occurrences("text", p) for p in PHRASES[4][2])), ("connector_density", "high", f"CASE WHEN 100.0 * ({occurrences('text', '因此')} + {occurrences('text', '然而')}) / nullif(length(h), 0) > 3.0 THEN 1 ELSE 0 END"),
+        ("citation_integration", "medium", f"CASE WHEN {x.count('text', PATTERNS[4][2])} >= 2 THEN 1 ELSE 0 END"), ("perfect_conclusion", "high", f"CASE WHEN {x.like(tail, '意义|总之')} AND NOT {x.like(tail, '局限|不足')} THEN 1 ELSE 0 END"),
+        ("certainty_overuse", "medium", f"CASE WHEN {certain} > 0 AND {hedge} = 0 THEN 1 ELSE 0 END"), ("over_enumeration", "medium", x.count("text", "(?s)首先.*?其次.*?最后")),
+    ]
+    return " UNION ALL ".join(f"SELECT doc_id, '{d}' AS dim, '{s}' AS severity, CAST({c} AS BIGINT) AS cnt FROM han WHERE ({c}) > 0" for d, s, c in dims)
+
+
+def _academic_score(x: Spark) -> str:
+    mult = "CASE severity WHEN 'critical' THEN 1.5 WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.3 END"
+    return f"SELECT doc_id, least(60, {x.down('raw * 0.7')}) AS score FROM (SELECT doc_id, CAST(sum(6 * {mult} * least(cnt, 5)) AS DOUBLE) AS raw FROM ({_academic(x)}) q GROUP BY doc_id) t"
+
+
+def _genre(x: Spark) -> str:
+    aca = f"({occurrences('text', '研究')} * 2 + {occurrences('text', '方法')} + {occurrences('text', '结果')})"
+    soc = f"({occurrences('text', '今天')} + {occurrences('text', '大家')} + {x.count('text', '[！]')})"
+    return f"SELECT doc_id, CASE WHEN {occurrences('text', '研究')} >= 1 AND {aca} >= 4 AND {aca} > {soc} THEN 'academic' WHEN {soc} >= 3 THEN 'social' WHEN length(h) >= 1500 AND {x.count('text', '“')} >= 3 THEN 'novel' ELSE 'general' END AS scene FROM han"
+
+
+def _diffusion(x: Spark) -> str:
+    """One minus the mean Jaccard likeness of neighbouring paragraphs' 20 most frequent bigrams."""
+    return """WITH_ SELECT doc_id, round(1 - avg(j), 4) AS value FROM (SELECT p.doc_id, p.idx, coalesce(b, 0) * 1.0 / (p.k + q.k - coalesce(b, 0)) AS j FROM sizes p JOIN sizes q ON q.doc_id = p.doc_id AND q.idx = p.idx + 1
+        LEFT JOIN (SELECT t.doc_id, t.idx, count(*) AS b FROM tops t JOIN tops u ON u.doc_id = t.doc_id AND u.idx = t.idx + 1 AND u.g = t.g GROUP BY t.doc_id, t.idx) m ON m.doc_id = p.doc_id AND m.idx = p.idx) z GROUP BY doc_id HAVING count(*) >= 2"""
+
+
+QUERIES = {
+    "rule_issues": lambda x: issues(x),
+    "rule_score": _score,
+    "worst_sentences": _worst,
+    "academic_issues": _academic,
+    "academic_score": _academic_score,
+    "genre_route": _genre,
+    "lr_scene": lambda x: f"SELECT doc_id, CASE WHEN length(h) >= 1500 THEN 'longform' WHEN {' + '.join(f"CASE WHEN {occurrences('text', p)} > 0 THEN 1 ELSE 0 END" for p in PHRASES[4][2])} >= 2 THEN 'academic' ELSE 'general' END AS scene FROM han",
+    "han_entropy": lambda x: f"SELECT doc_id, round(h, 4) AS entropy FROM ({entropy('doc_id', f'({x.rows("han", "doc_id", x.grams(x.chars("h"), 2), "pos, g")}) q')}) t",
+    "topic_diffusion": lambda x: _diffusion(x).replace("WITH_ ", "").replace("sizes ", "(SELECT doc_id, idx, count(*) AS k FROM (SELECT doc_id, idx, g, row_number() OVER (PARTITION BY doc_id, idx ORDER BY n DESC, first) AS r FROM (SELECT doc_id, idx, g, count(*) AS n, min(pos) AS first FROM pg2 GROUP BY doc_id, idx, g) a) b WHERE r <= 20 GROUP BY doc_id, idx) ").replace("tops ", "(SELECT doc_id, idx, g FROM (SELECT doc_id, idx, g, row_number() OVER (PARTITION BY doc_id, idx ORDER BY n DESC, first) AS r FROM (SELECT doc_id, idx, g, count(*) AS n, min(pos) AS first FROM pg2 GROUP BY doc_id, idx, g) a) b WHERE r <= 20) "),
+    "in_sentence_repeats": lambda x: f"SELECT doc_id, idx, g, count(*) AS n FROM (SELECT doc_id, idx, g, pos - lag(pos) OVER (PARTITION BY doc_id, idx, g ORDER BY pos) AS gap FROM ({x.rows('hsents', 'doc_id, idx', x.grams(x.chars('s'), 2), 'pos, g')}) q WHERE {x.like('g', '^[一-鿿]{2}$')}) t WHERE gap <= 20 GROUP BY doc_id, idx, g",
+    "duplicate_clauses": lambda x: f"SELECT doc_id, s AS clause, count(*) AS n FROM ({x.rows('docs', 'doc_id', x.keep(x.split('text', r'[,.;!?\n]+'), 'length(x) >= 10'))}) q GROUP BY doc_id, s HAVING count(*) >= 2",
+    "rhythm_metrics": lambda x: "SELECT doc_id, count(*) AS n, round(stddev_pop(n) / avg(n), 4) AS cv, round(avg(CASE WHEN n < 10 THEN 1.0 ELSE 0.0 END), 4) AS short_frac, round(avg(n), 4) AS mean_len FROM (SELECT doc_id, length(s) AS n FROM hsents) t GROUP BY doc_id HAVING count(*) >= 2",
+    "merge_candidates": lambda x: f"SELECT doc_id, idx FROM (SELECT doc_id, idx, s, length(s) AS n, lead(length(s)) OVER (PARTITION BY doc_id ORDER BY idx) AS m, {occurrences('s', '，')} + lead({occurrences('s', '，')}) OVER (PARTITION BY doc_id ORDER BY idx) AS commas FROM hsents) t WHERE s LIKE '%。' AND n + m <= 45 AND n >= 4 AND m >= 4 AND commas < 3",
+}
