@@ -29,6 +29,14 @@ IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key private_key client_id client_secret authorization bearer "
     b"config default example placeholder changeme your_token_here username database connection string localhost "
     b"import return function class public static void const var let self None true false null undefined "
+    b"application authentication authorization certificate character collection column command component connection container "
+    b"controller conversion dependency description destination development directory document documentation element encryption "
+    b"environment exception execution expiration expression extension generation identifier identifiers identification implementation "
+    b"information initialization initialize instance integration interface international internationalization_of_language localization location "
+    b"management manager message metadata method migration module network notification number object operation operator option parameter "
+    b"partition permission platform position previous process production property protocol provider publication reference registration "
+    b"repository resource schedule schema security selection sequence serialization server service session signature specification "
+    b"standard statement storage structure subscription template temporary transaction transformation translation validation variable version "
     b"get_value set_value user_name file_path request response http https www com org index html json xml "
 )
 SHORTEST, BITS_PER_CHAR = 16, 3.5
