@@ -115,7 +115,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) ->
     named = parts.join(least, parts.node == least.fp).select("fp", "component", "least")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     far = named.join(ids, "component").select("fp", "component_id")
-    name = least.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # as a table, so that the join below is one of two plain shuffles, whose hot fingerprints adaptive execution splits
+    name = materialize(least.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "names")
     return fps.join(name, "fp").select("doc_id", "fp", "component_id")
 
 
