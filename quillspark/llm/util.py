@@ -63,7 +63,7 @@ _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def _powers(n: int, p: int) -> np.ndarray:
