@@ -7,10 +7,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Add the package's parent folder to the Python path of workers started from now on; harmless where it is installed."""
+    """Add the package's parent folder to the Python path of workers started from now on; harmless where it is installed.
+
+    Arrow batches are held to 8 MB unless the session was built with a bound of its own, so that long texts don't add up.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "8m")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
