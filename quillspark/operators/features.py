@@ -1,0 +1,74 @@
+"""Compositions of the statistics: the feature vector, its threshold flags, the second signal, and small text features."""
+
+from __future__ import annotations
+
+from quillspark.functions.dialect import Spark
+from quillspark.operators import rules, statistics
+from quillspark.operators.statistics import occurrences
+
+FEATURES = {
+    "punct_density": ("comma_density", "punct_density"), "sentence_length": ("mean_len", "cv", "short_frac", "long_frac", "mid_frac"), "bigram_entropy": ("entropy",), "mattr": ("mattr",),
+    "transition_density": ("density",), "para_entropy_cv": ("value",), "cross_para_trigram": ("value",), "perplexity": ("avg_lp", "ppl"), "starter_entropy": ("value",),
+}
+FILLERS = "其实|就是|的话|基本上|可以说"
+GREEN = 0.25
+
+
+def _named(query: str, column: str) -> str:
+    return query if column == "value" else column
+
+
+def vector(x: Spark) -> str:
+    """A row for each document; a feature that its text is too short for is 0."""
+    cols = [f"coalesce(f{i}.{c}, 0) AS {_named(q, c)}" for i, (q, cs) in enumerate(FEATURES.items()) for c in cs]
+    joins = [f"LEFT JOIN ({statistics.QUERIES[q](x)}) f{i} ON f{i}.doc_id = d.doc_id" for i, q in enumerate(FEATURES)]
+    return f"SELECT d.doc_id, {', '.join(cols)} FROM docs d {' '.join(joins)}"
+
+
+def _flags(x: Spark) -> str:
+    rules_ = (
+        ("low_perplexity", "ppl > 50 AND ppl < 500"), ("low_entropy_cv", "para_entropy_cv > 0 AND para_entropy_cv < 0.05"), ("low_sentence_cv", "cv > 0 AND cv < 0.40"), ("few_short_sentences", "mean_len > 0 AND short_frac < 0.08"), ("low_comma_density", "comma_density < 4.5"),
+    )
+    return f"SELECT doc_id, {', '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END AS {n}' for n, c in rules_)} FROM ({vector(x)}) v"
+
+
+def _second(x: Spark) -> str:
+    """A weighted mean of clamped linear scales: likelihood, diversity and openings."""
+    scale = lambda c, lo, hi: f"least(100.0, greatest(0.0, 100.0 * ({c} - {lo}) / ({hi} - {lo})))"
+    return f"SELECT doc_id, round(0.5 * {scale('avg_lp', -12.0, -4.0)} + 0.3 * (100.0 - {scale('mattr', 0.1, 0.3)}) + 0.2 * (100.0 - {scale('starter_entropy', 1.0, 5.0)}), 4) AS value FROM ({vector(x)}) v"
+
+
+def _green(x: Spark) -> str:
+    """Green tokens by a keyed hash of a character and the four before it: z = (g - gamma T) / sqrt(T gamma (1 - gamma))."""
+    grams = x.rows("letters", "doc_id", x.grams(x.chars("h"), 5), "pos, g")
+    return f"SELECT doc_id, n, green, round((green - {GREEN} * n) / sqrt(n * {GREEN} * (1 - {GREEN})), 4) AS z FROM (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN substr(md5(concat('key', g)), 1, 1) < '4' THEN 1 ELSE 0 END) AS BIGINT) AS green FROM ({grams}) t GROUP BY doc_id) u"
+
+
+def _dropped(x: Spark, pattern: str) -> str:
+    """Tokens that are fewer after than before."""
+    bag = lambda c: f"SELECT pair_id, s, count(*) AS n FROM ({x.rows('pairs', 'pair_id', x.all(c, pattern))}) q GROUP BY pair_id, s"
+    return f"SELECT b.pair_id, b.s AS token, b.n - coalesce(a.n, 0) AS lost FROM ({bag('before')}) b LEFT JOIN ({bag('after')}) a ON a.pair_id = b.pair_id AND a.s = b.s WHERE b.n > coalesce(a.n, 0)"
+
+
+def _starts(x: Spark) -> str:
+    counts = "SELECT doc_id, substr(lower(s), 1, 3) AS g, count(*) AS n FROM sents GROUP BY doc_id, substr(lower(s), 1, 3)"
+    return f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS sentences, round(count(*) * 1.0 / sum(n), 4) AS diversity, CAST(max(n) AS BIGINT) AS most FROM ({counts}) t GROUP BY doc_id"
+
+
+QUERIES = {
+    "feature_vector": vector,
+    "indicators": _flags,
+    "secondary_signal": _second,
+    "green_list_z": _green,
+    "guard_numbers": lambda x: _dropped(x, r"[0-9]+(?:[.,][0-9]+)*%?"),
+    "guard_latin": lambda x: _dropped(x, r"[A-Za-z][A-Za-z0-9./-]+"),
+    "invariant": lambda x: f"SELECT pair_id, {x.sub('before', '[，。！？；、 ]')} = {x.sub('after', '[，。！？；、 ]')} AS same FROM pairs",
+    "phrase_counts": lambda x: " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{p}' AS phrase, {occurrences('text', p)} AS cnt FROM fx" for c, _, ps in rules.PHRASES for p in ps),
+    "filler_ratio": lambda x: f"SELECT doc_id, CASE WHEN length(h) = 0 THEN 0 ELSE round(least(0.5, length({x.join(x.all('h', FILLERS))}) * 1.0 / length(h)), 4) END AS value FROM han",
+    "latin_tokens": lambda x: f"SELECT doc_id, {x.join(x.sorted(x.all('upper(text)', r'[A-Z][A-Z0-9./-]+')), '|')} AS tokens FROM fx",
+    "markdown_strip": lambda x: f"SELECT doc_id, {x.sub(x.sub('text', r'(?m)^#+ *'), '[*]{2}|_{2}')} AS body FROM docs",
+    "reduce_punctuation": lambda x: f"SELECT doc_id, replace({x.sub('text', '；', '，')}, '——', '—') AS body FROM fx",
+    "casual_terms": lambda x: "SELECT doc_id, replace(replace(replace(text, '因此', '所以'), '然而', '不过'), '值得注意的是，', '') AS body FROM fx",
+    "starter_diversity": _starts,
+    "score_layers": lambda x: f"SELECT r.doc_id, rule_score, level, coalesce(a.score, 0) AS academic FROM ({rules._score(x)}) r LEFT JOIN ({rules._academic_score(x)}) a ON a.doc_id = r.doc_id",
+}

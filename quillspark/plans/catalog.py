@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.dialect import DuckDB, Spark
-from quillspark.operators import evaluation, rules, segments, statistics, texts
+from quillspark.operators import evaluation, features, rules, segments, statistics, texts
 
-BODIES = statistics.QUERIES | rules.QUERIES | texts.QUERIES | evaluation.QUERIES
+BODIES = statistics.QUERIES | rules.QUERIES | texts.QUERIES | features.QUERIES | evaluation.QUERIES
 TABLES = ("documents", "labels", "conversations", "pages", "benchmark")
 
 
