@@ -39,7 +39,9 @@ class Spark:
         """The n-grams of an array of characters."""
         if n == 1:
             return a
-        return f"CASE WHEN size({a}) >= {n} THEN zip_with({self.grams(f'slice({a}, 1, size({a}) - 1)', n - 1)}, slice({a}, {n}, size({a})), (x, y) -> concat(x, y)) ELSE array() END"
+        parts = ", ".join(f"c[i + {k}]" for k in range(n))
+        # the array is evaluated once, as the only element of another
+        return f"transform(array({a}), c -> CASE WHEN size(c) >= {n} THEN transform(sequence(0, size(c) - {n}), i -> concat({parts})) ELSE array() END)[0]"
 
     def size(self, a: str) -> str:
         return f"CAST(size({a}) AS BIGINT)"
