@@ -114,6 +114,17 @@ def test_passages_find_shared_words(spark):
     assert all(r.similarity >= 0.8 and r.last_word - r.first_word + 1 >= 50 for r in out)
 
 
+def test_passages_of_a_pair_within_common_words(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(50_000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    common, own = some(44), some(11)
+    rows = [(i, " ".join(some(60) + common + (own if i in (20, 31) else []) + some(60)), "s") for i in range(60)]
+    out = passages.passages(docs_of(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in out} == {frozenset((20, 31))}
+    assert all((r.first_word, r.last_word) == (r.other_first_word, r.other_last_word) == (60, 114) for r in out)
+
+
 def test_mixing_stays_within_one_block(spark):
     rows = [(i, "t", "abc"[0 if i < 500 else 1 + (i < 650)]) for i in range(800)]
     weights = {"a": 5, "b": 3, "c": 2}
