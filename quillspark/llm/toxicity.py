@@ -6,7 +6,8 @@ both. A document is scored by length-normalised log-likelihood differences: of t
 windows of fixed lengths. Windows are compared at the continuation level, since a context that repeated passages fill
 makes every other follower look rare. A logistic curve fitted on rows that the counts have not seen turns them into a probability.
 
-All tables that reach the driver and the workers are hashed to a fixed number of buckets, so their size doesn't grow.
+Words and pairs are keyed by their whole 64-bit hashes, and the tables hold all that the labelled learning rows hold, so
+they grow with these rows. Words in none of them need no entry: their shared probability cancels out between the classes.
 """
 
 from __future__ import annotations
@@ -22,50 +23,53 @@ from pyspark.sql import functions as F
 from quillspark.llm.util import chunks, fold, hashed_words, materialize, mix, table, text_bytes
 
 THRESHOLD = 0.5
-MOST_ROWS = 20_000
-WORD_BITS, PAIR_BITS = 20, 21
+MOST_ROWS = 20_000  # for the curve's few weights
 DISCOUNT, WINDOWS = 4, (1, 4)  # the discount is high: of words and pairs seen a few times only, nearly all mass goes to the shared counts
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, doc = hashed_words(texts)
-    return (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), doc
+def _pairs(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word within its text, 0 before the first, and a key for the pair."""
+    before = np.concatenate([np.zeros(1, dtype=np.uint64), word[:-1]]) if len(word) else word
+    before[np.concatenate([[True], doc[1:] != doc[:-1]])[: len(word)]] = 0
+    return before, mix(before * _SALT + word)
 
 
-def _pairs(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word within its text, -1 before the first, and a key for the pair."""
-    before = np.concatenate([[-1], word[:-1]]) if len(word) else word
-    before[np.concatenate([[True], doc[1:] != doc[:-1]])[: len(word)]] = -1
-    return before, mix((before + 1).astype(np.uint64) * _SALT + word.astype(np.uint64))
+def _places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The index of each x in sorted keys, len(keys) where it isn't there."""
+    at = np.searchsorted(keys, x)
+    return np.where(np.append(keys, 0)[at] == x, at, len(keys)) if len(keys) else at
 
 
 @dataclass
 class Model:
-    shared: np.ndarray  # log-free probability of each word bucket over the corpus
-    own: np.ndarray  # class x word bucket: interpolated continuation probability
-    context: np.ndarray  # class x (count, discounted mass) x word bucket
-    pair: np.ndarray  # class x pair bucket: bigram counts over DISCOUNT
+    words: np.ndarray  # sorted hashes of the words that learning rows hold
+    pairs: np.ndarray  # sorted keys of their pairs of more than DISCOUNT places in a class
+    own: np.ndarray  # class x word: interpolated continuation probability; here and below, the last entry is for all others
+    context: np.ndarray  # class x (count, discounted mass) x word
+    pair: np.ndarray  # class x pair: discounted bigram counts
     curve: np.ndarray  # weights of the logistic curve
 
     def likelihoods(self, word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(toxic) - log P(ordinary) of each word after the word before it, and without the word before it."""
         before, key = _pairs(word, doc)
-        at = (key & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
+        first, at = before == 0, _places(self.pairs, key)
+        word = _places(self.words, word)
+        before = np.concatenate([[-1], word[:-1]])
         out = []
         for c in (1, 0):
             count, mass = self.context[c, 0][before], self.context[c, 1][before]
             p = self.own[c][word]
-            known = (before >= 0) & (count > 0)
+            known = ~first & (count > 0)
             safe = np.maximum(count, 1)
-            out.append(np.log(np.where(known, np.maximum(self.pair[c][at] - DISCOUNT, 0) / safe + mass / safe * p, p)))
+            out.append(np.log(np.where(known, self.pair[c][at] / safe + mass / safe * p, p)))
         return out[0] - out[1], np.log(self.own[1][word] / self.own[0][word])
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """For each text: the mean difference, those of its most toxic windows, and log(1 + words); zeros without words."""
         out = np.zeros((len(texts), 2 + len(WINDOWS)))
         for a, b in chunks(texts):
-            word, doc = _words(texts[a:b])
+            word, doc = hashed_words(texts[a:b])
             if not len(word):
                 continue
             d, alone = self.likelihoods(word, doc)
@@ -88,35 +92,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.curve, -30, 30)))
 
 
-def _shared(docs: DataFrame) -> np.ndarray:
-    """Smoothed word probabilities over all documents."""
+def _shared(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Probabilities of the words over all documents, and at the end one for a word of one place."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << WORD_BITS, dtype=np.int64)
+        n = np.zeros(len(held.value) + 1, dtype=np.int64)
         for batch in it:
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
-                word, _ = _words(texts[a:b])
-                n += np.bincount(word, minlength=len(n))
+                n += np.bincount(_places(held.value, hashed_words(texts[a:b])[0]), minlength=len(n))
         at = np.flatnonzero(n)
         for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)].astype(np.int32)), pa.array(n[at[i : i + (1 << 16)]])], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], names=["w", "n"])
 
-    rows = docs.select(text_bytes()).mapInArrow(run, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    n = np.ones(1 << WORD_BITS)
-    n[rows["w"].to_numpy()] += rows["n"].to_numpy()
-    return n / n.sum()
+    rows = docs.select(text_bytes()).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(words) + 1)
+    n[rows["w"].to_numpy()] = rows["n"].to_numpy()
+    total = max(n.sum(), 1)
+    n[-1] = 1
+    return np.maximum(n, 1) / total
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) -> DataFrame:
-    """(text, y) of at most `most` labelled ids of each class in the folds, by least id hash."""
+def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int | None = None) -> DataFrame:
+    """(text, y) of all labelled ids in the folds, or of at most `most` of each class, by least id hash."""
     rows = labels.where(fold(F.col("doc_id")).isin(folds) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select(text_bytes(), "y")
+    if most is not None:
+        parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+        rows = parts[0].union(parts[1])
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(text_bytes(), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
-    """Fit on labelled rows of the learning folds: folds 2 to 4 give counts, fold 1 the curve, at most most_rows of each class in either.
+    """Fit on labelled rows of the learning folds: all of folds 2 to 4 give counts, at most most_rows of each class in fold 1 the curve.
 
     The shared backoff counts come from all documents. None comes back unless both classes are there.
     """
@@ -125,34 +133,38 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
         for batch in it:
             texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a, b in chunks(texts):
-                word, doc = _words(texts[a:b])
+                word, doc = hashed_words(texts[a:b])
                 before, key = _pairs(word, doc)
                 _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
                 toxic = np.bincount(inverse, y[a:b][doc], len(first)).astype(np.int64)
                 every = np.bincount(inverse, minlength=len(first))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(before[first].astype(np.int32)), pa.array(word[first].astype(np.int32)), pa.array(every - toxic), pa.array(toxic)], names=["key", "u", "w", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(every - toxic), pa.array(toxic)], names=["u", "w", "c0", "c1"])
 
-    counted = _labelled(docs, labels, [2, 3, 4], most_rows).mapInArrow(pairs, "key long, u int, w int, c0 long, c1 long")
-    counted = materialize(counted.groupBy("key", "u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
+    counted = _labelled(docs, labels, [2, 3, 4]).mapInArrow(pairs, "u long, w long, c0 long, c1 long")
+    counted = materialize(counted.groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
+    less = [F.least(F.col(f"c{c}"), F.lit(DISCOUNT)) for c in (0, 1)]
     kinds = [F.sum((F.col(f"c{c}") > 0).cast("int")).alias(f"n{c}") for c in (0, 1)]
     sums = [F.sum(f"c{c}").alias(f"s{c}") for c in (0, 1)]
-    masses = [F.sum(F.least(F.col(f"c{c}"), F.lit(DISCOUNT))).alias(f"m{c}") for c in (0, 1)]
+    masses = [F.sum(less[c]).alias(f"m{c}") for c in (0, 1)]
     by_word = counted.groupBy("w").agg(*kinds).toArrow()
-    by_context = counted.where("u >= 0").groupBy("u").agg(*sums, *masses).toArrow()
-    by_pair = counted.where(F.greatest("c0", "c1") > DISCOUNT).groupBy(F.col("key").bitwiseAND(F.lit((1 << PAIR_BITS) - 1)).alias("k")).agg(*sums).toArrow()
-    shared = _shared(docs)
-    size = 1 << WORD_BITS
-    own, context, pair = np.zeros((2, size)), np.zeros((2, 2, size), dtype=np.float32), np.zeros((2, 1 << PAIR_BITS), dtype=np.float32)
+    by_context = counted.where("u <> 0").groupBy("u").agg(*sums, *masses).toArrow()
+    by_pair = counted.where(F.greatest("c0", "c1") > DISCOUNT).select("u", "w", *[(F.col(f"c{c}") - less[c]).cast("float").alias(f"s{c}") for c in (0, 1)]).toArrow()
+    hashes = lambda rows, name: rows[name].to_numpy().view(np.uint64)
+    keys = mix(hashes(by_pair, "u") * _SALT + hashes(by_pair, "w"))
+    order, by = np.argsort(hashes(by_word, "w")), np.argsort(keys)
+    words, keys = hashes(by_word, "w")[order], keys[by]
+    shared, at = _shared(docs, words), _places(words, hashes(by_context, "u"))
+    size = len(words) + 1
+    own, context, pair = np.zeros((2, size)), np.zeros((2, 2, size), dtype=np.float32), np.zeros((2, len(keys) + 1), dtype=np.float32)
     for c in (0, 1):
-        n = np.zeros(size)
-        n[by_word["w"].to_numpy()] = by_word[f"n{c}"].to_numpy()
+        n = np.append(by_word[f"n{c}"].to_numpy()[order], 0)
         if not n.sum():
             return None
         own[c] = np.maximum(n - DISCOUNT, 0) / n.sum() + np.minimum(n, DISCOUNT).sum() / n.sum() * shared
-        context[c, 0][by_context["u"].to_numpy()] = by_context[f"s{c}"].to_numpy()
-        context[c, 1][by_context["u"].to_numpy()] = by_context[f"m{c}"].to_numpy()
-        pair[c][by_pair["k"].to_numpy()] = by_pair[f"s{c}"].to_numpy()
-    model = Model(shared[:0], own.astype(np.float32), context, pair, np.zeros(len(WINDOWS) + 3))
+        context[c, 0][at] = by_context[f"s{c}"].to_numpy()
+        context[c, 1][at] = by_context[f"m{c}"].to_numpy()
+        pair[c][:-1] = by_pair[f"s{c}"].to_numpy()[by]
+    model = Model(words, keys, own.astype(np.float32), context, pair, np.zeros(len(WINDOWS) + 3))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

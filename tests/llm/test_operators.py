@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -168,3 +169,14 @@ def test_held_out_accuracy(spark):
     assert q.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
     x = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out")
     assert x.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.95
+
+
+def test_toxicity_tables_grow(spark):
+    texts = [(i, " ".join(f"x{i}y{j}" for j in range(900)), "s") for i in range(2500)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(2500)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels)
+    seen = sum(zlib.crc32(str(i).encode()) % 5 >= 2 for i in range(2500))
+    assert len(model.words) == 900 * seen > 1 << 20
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100_000)], "doc_id long, quality int, toxic int")
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    assert len(toxicity.train(docs, labels).words) == sum(zlib.crc32(str(i).encode()) % 5 >= 2 for i in range(100_000))
