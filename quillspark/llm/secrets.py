@@ -2,7 +2,8 @@
 
 A candidate is a long mixed string shortly after a sensitive word. Its novelty is the number of bytes that it adds to the
 compressed size of the text before it, with the text around it and a dictionary of code identifiers as the compressor's
-dictionary. Words, paths and repeated identifiers add few bytes; random strings add nearly their entropy.
+dictionary, less the candidate's own copies there, so that a repeated secret doesn't vouch for itself. Words and paths add few
+bytes; random strings add nearly their entropy.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ def novelty(candidate: bytes, before: bytes, after: bytes, identifiers: bytes =
     return size(before[-64:] + candidate) - size(before[-64:])
 
 
+def _around(text: bytes, a: int, b: int, context: int) -> tuple[bytes, bytes]:
+    """The text before and after text[a:b], without copies of it, those that the ends of the context cut included."""
+    s, lo, hi = text[a:b], max(0, a - context), b + context
+    at = text.rfind(s, max(0, lo - len(s) + 1), min(lo + len(s) - 1, a))
+    lo = at + len(s) if at >= 0 else lo
+    at = text.find(s, max(b, hi - len(s) + 1), hi + len(s) - 1)
+    return text[lo:a].replace(s, b""), text[b : at if at >= 0 else hi].replace(s, b"")
+
+
 def novel_spans(text: bytes, taken: list[tuple[int, int, str]], context: int = 2048, least_bits: float = BITS_PER_CHAR) -> list[tuple[int, int, str]]:
     """Byte spans of incompressible strings shortly after a sensitive word, apart from those taken already."""
     out = []
@@ -65,7 +75,7 @@ def novel_spans(text: bytes, taken: list[tuple[int, int, str]], context: int = 2
         s = m[0]
         if not (re.search(rb"[0-9]", s) and re.search(rb"[A-Za-z]", s)) or any(x < b and a < y for x, y, _ in taken) or not _SENSITIVE.search(text[max(0, a - 64) : a]):
             continue
-        if 8 * novelty(s, text[max(0, a - context) : a], text[b : b + context]) >= least_bits * len(s):
+        if 8 * novelty(s, *_around(text, a, b, context)) >= least_bits * len(s):
             out.append((a, b, "novel"))
     return out
 

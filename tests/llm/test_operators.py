@@ -148,6 +148,14 @@ def test_secrets(spark):
     assert secrets.secret_spans(docs_of(spark, [(1, "the secret is internationalization_of_identifiers1", "s")])).first().n_novel == 0
 
 
+@pytest.mark.parametrize("gap", [0, 1, 300, 2000, 2020, 2040])
+def test_repeated_secrets(spark, gap):
+    line = "client secret is qX7vR2mK9pLw4ZtB8nYc\n"
+    text = line + ("plain words of text " * 200)[:gap] + "\n" + line
+    assert secrets.secret_spans(docs_of(spark, [(1, text, "s")])).first().n_novel == 2
+    assert "qX7v" not in secrets.redact(docs_of(spark, [(1, text, "s")])).first().text
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
