@@ -32,7 +32,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a scratch table that no later step reads."""
+    _remove(df.sparkSession, df._scratch)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -83,13 +83,14 @@ def test_simhash_links(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3, repeats.BLOCK])
 @pytest.mark.parametrize("first", [False, True])
-def test_repeats_brute_force(spark, first):
+def test_repeats_brute_force(spark, first, block):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdé \n") for _ in range(400)) for _ in range(6)]
     rows = [(i, "".join(rng.choice(base)[a : a + rng.randrange(150)] for a in [rng.randrange(300) for _ in range(5)])) for i in range(40)] + [(40, "ab" * 200), (41, None), (42, base[0]), (43, base[0])]
     length = 60
-    got = {r.doc_id: (r.bytes, r.spans) for r in repeats.repeats(docs_of(spark, [(i, t, "s") for i, t in rows]), length, first).collect()}
+    got = {r.doc_id: (r.bytes, r.spans) for r in repeats.repeats(docs_of(spark, [(i, t, "s") for i, t in rows]), length, first, block).collect()}
     count, seen = Counter(), set()
     raw = [(i, (t or "").encode()) for i, t in rows]
     for _, b in raw:
