@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.util import chunks, discard, materialize, mix, previous_max, segment_hashes, table, text_bytes
 
 LENGTH, GRAM = 400, 50
-PIECE = 1 << 20
+PIECE = 1 << 18
 BLOCK = 8192
 _BITS = 26
 _POSITION = np.uint64((1 << 24) - 1)
@@ -96,15 +96,15 @@ def _neighbours(group: np.ndarray, sides: list[bytes], width: int) -> tuple[np.n
     """Members in the order of group and bytes, and each one's common prefix with the one before it, -1 where a group begins."""
     order = np.array(sorted(range(len(sides)), key=lambda i: (group[i], sides[i])), dtype=np.int64)
     common = np.full(len(order), -1, dtype=np.int64)
-    for lo in range(0, len(order), 1 << 14):
-        some = order[max(lo - 1, 0) : lo + (1 << 14)]
+    for lo in range(0, len(order), 1 << 12):
+        some = order[max(lo - 1, 0) : lo + (1 << 12)]
         text = np.frombuffer(b"".join([sides[i].ljust(width, b"\0") for i in some.tolist()]), dtype=np.uint8).reshape(-1, width)
         size = np.array([len(sides[i]) for i in some.tolist()])
         unlike = text[1:] != text[:-1]
         agree = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
         agree = np.minimum(agree, np.minimum(size[1:], size[:-1]))
         g = group[some]
-        common[max(lo, 1) : lo + (1 << 14)] = np.where(g[1:] == g[:-1], agree, -1)
+        common[max(lo, 1) : lo + (1 << 12)] = np.where(g[1:] == g[:-1], agree, -1)
     return order, common
 
 
@@ -116,7 +116,7 @@ def block_copies(group: np.ndarray, raw: list[bytes], offset: np.ndarray, length
     least = offset - (np.array([len(x) for x in raw]) - length)  # the anchor's distance from the last start
     me = np.arange(n)
     every = np.zeros((int(offset.max()) + 2, n), dtype=bool)
-    for lo in range(0, len(every) - 1, step := max(1, (1 << 21) // n)):
+    for lo in range(0, len(every) - 1, step := max(1, (1 << 18) // n)):
         o = np.arange(lo, min(lo + step, len(every) - 1))[:, None]
         key = np.empty((len(o), n), dtype=np.int64)
         key[:, r] = np.cumsum(rc[None, :] < length - o, axis=1) - 1
@@ -243,13 +243,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     return out[0]
 
 
-def held_back(docs: DataFrame, wanted: DataFrame, there: bool = True) -> DataFrame:
-    """docs' rows that may be in wanted (d, t), or with there=False those that surely aren't: only a filter before a join."""
+def held_back(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs' rows that may be in wanted (d, t): only a filter before a join."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("d", "t").alias("key"))))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield batch.drop_columns(["at"]).filter(pa.array(_in(bits.value, batch.column(batch.schema.get_field_index("at")).to_numpy()) == there))
+            yield batch.drop_columns(["at"]).filter(pa.array(_in(bits.value, batch.column(batch.schema.get_field_index("at")).to_numpy())))
 
     return docs.withColumn("at", F.xxhash64("d", "t")).mapInArrow(run, docs.schema)
 
@@ -273,9 +273,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, blo
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("bytes").alias("t"), "bytes")
     spans = repeated_spans(rows.where(F.octet_length("bytes") >= length).select("d", "t", "bytes"), length, keep_first, block=block)
-    spans = materialize(merged(spans), "spans")
-    found = held_back(rows, spans).join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "bytes", "spans")
-    return found.union(held_back(rows, spans, False).select("doc_id", "bytes", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    return rows.join(merged(spans).hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "bytes", "spans")
 
 
 def _digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
