@@ -1,15 +1,21 @@
 """Token counts by a compiled transducer whose transitions carry emitted-token counts.
 
-The tokenizer's normaliser and splitting rule never join characters across ASCII white space, so white space resets the
-machine: the count of a text is the sum over its pieces between white space. A piece is one composite transition, whose
-emitted-token count is compiled on first use by the tokenizer library itself and kept. A chunk of text is a map
-(open head, tokens within, open tail) and maps compose associatively, so long texts are cut into chunks and their maps are
-combined in a tree (prefix-scan order), with the same result as one pass. Special strings hold no white space and so stay
-within a piece, where the library handles them by its default.
+The vocabulary and the merges of a byte-pair tokenizer are compiled into a deterministic transducer over the letters of a
+word. A merge sequence is the word's encoding exactly if each pair of neighbouring tokens is, so the last token of every prefix
+follows from the last token where it begins. A state therefore holds, for each end of the prefix read that begins some token,
+the place in the vocabulary's trie, the last token before it and the count there against the present one; a transition moves
+all of them by one letter and carries the change of the count, a final transition ends the word. States and transitions are
+made when they are first met, then kept.
+
+White space resets the machine, and nothing that the normaliser and the splitting rule do reaches across it. A chunk of text is
+a map (open head, tokens within, open tail) and maps compose associatively, so long texts are cut into chunks whose maps are
+combined in a tree (prefix-scan order), with the same result as one pass. Tokenizers for which any of this doesn't hold are refused.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,35 +24,182 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.util import table
 
-CHUNK, MEMO = 1 << 16, 400_000
+CHUNK, MEMO, STATES = 1 << 16, 150_000, 150_000
 _SPACE = "\t\n\x0b\x0c\r "
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split() also cuts at these, which the tokenizer keeps within a piece
+# fixed values: the parts of a tokenizer that the compiled class is made for
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_OPTIONS = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def _letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Transducer(dict):
-    """piece -> emitted tokens; at most `most` pieces are kept, more are compiled anew."""
+class Transducer:
+    """States and transitions of one tokenizer; at most `states` and `words` are kept, more are compiled anew."""
 
-    def __init__(self, source: str, most: int = MEMO):
-        super().__init__()
+    def __init__(self, source: str, states: int = STATES, words: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_str(source), most
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        spec = json.loads(source)
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if (spec.get("normalizer") or {}).get("normalizers") != _NORMALIZER or split[0].get("pattern") != {"Regex": _SPLIT} or [x.get("type") for x in split] != ["Split", "ByteLevel"]:
+            raise ValueError("the normaliser or the splitting rule isn't of the compiled class")
+        if split[0].get("behavior") != "Removed" or not split[0].get("invert") or split[1].get("use_regex") or split[1].get("add_prefix_space"):
+            raise ValueError("the splitting rule isn't of the compiled class")
+        if any(spec["model"].get(k) != v for k, v in _OPTIONS.items()) or spec["model"].get("continuing_subword_prefix"):
+            raise ValueError("the model isn't of the compiled class")
+        if any(x["normalized"] or x["lstrip"] or x["rstrip"] or any(c in x["content"] for c in _SPACE) or "<|" not in x["content"] for x in spec["added_tokens"]):
+            raise ValueError("the added tokens aren't of the compiled class")
+        self.library = Tokenizer.from_str(source)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.most_states, self.most_words = states, words
+        self.end = spec["model"]["end_of_word_suffix"] or ""
+        self.letter = _letters()
+        merges = spec["model"]["merges"]
+        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges)
+        self.rank = {p: i for i, p in enumerate(pairs)}
+        self.children: list[dict[str, int]] = [{}]
+        self.inner: list[str | None] = [None]
+        self.last: list[str | None] = [None]
+        for token in spec["model"]["vocab"]:
+            body = token[: -len(self.end)] if self.end and token.endswith(self.end) else token
+            if not body or token in ("<|startoftext|>", "<|endoftext|>"):
+                continue
+            at = 0
+            for c in body:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.inner.append(None)
+                    self.last.append(None)
+                at = self.children[at][c]
+            if body is token or body == token:
+                self.inner[at] = token
+                if not self.end:
+                    self.last[at] = token
+            else:
+                self.last[at] = token
+        missing = [c for c in self.letter.values() if c not in self.children[0] or not self.inner[self.children[0][c]] or not self.last[self.children[0][c]]]
+        if missing:
+            raise ValueError("the vocabulary doesn't hold every byte")
+        self.made: dict[str, tuple | None] = {}
+        self.fits: dict[tuple[str | None, str], bool] = {}
+        self.words: dict[str, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number = {((0, None, 0),): 0}
+        self.state = [((0, None, 0),)]
+        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.ends: list[dict[str, int]] = [{}]
+
+    def _derived(self, token: str) -> tuple | None:
+        """The outermost parts of a token while it is merged, on its left and on its right: (part, rank that uses it up). None if merging makes no such token."""
+        if token not in self.made:
+            body = token[: -len(self.end)] if self.end and token.endswith(self.end) and token != self.end else token
+            parts = [*body[:-1], body[-1] + token[len(body) :]]
+            left, right = [], []
+            while len(parts) > 1:
+                rank, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                if i == 0:
+                    left.append((parts[0], rank))
+                if i == len(parts) - 2:
+                    right.append((parts[-1], rank))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            whole = [(token, 1 << 60)]
+            self.made[token] = (left + whole, right + whole) if len(parts) == 1 else None
+        return self.made[token]
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = n
+    def _fit(self, a: str | None, b: str) -> bool:
+        """Whether a and b stay apart when their text is merged; a is None at the beginning of a word."""
+        key = (a, b)
+        if key not in self.fits:
+            if len(self.fits) > 2_000_000:
+                self.fits.clear()
+            to = self._derived(b)
+            if to is None or a is None:
+                self.fits[key] = to is not None
+            else:
+                # of two merges of one rank the one further left goes first
+                self.fits[key] = not any((r := self.rank.get((x, y))) is not None and r < gone and r <= used for x, gone in self._derived(a)[1] for y, used in to[0])
+        return self.fits[key]
+
+    def _move(self, s: int, c: str) -> tuple[int, int]:
+        parts, change, token = [], 0, None
+        for node, before, count in self.state[s]:
+            child = self.children[node].get(c)
+            if child is not None:
+                parts.append((child, before, count))
+                if token is None and (t := self.inner[child]) and self._fit(before, t):
+                    token, change = t, count + 1
+        key = (*((node, before, count - change) for node, before, count in parts if self.children[node]), (0, token, 0))
+        if key not in self.number:
+            self.number[key] = len(self.state)
+            self.state.append(key)
+            self.moves.append({})
+            self.ends.append({})
+        self.moves[s][c] = out = (self.number[key], change)
+        return out
+
+    def _finish(self, s: int, c: str) -> int:
+        for node, before, count in self.state[s]:
+            child = self.children[node].get(c)
+            if child is not None and (t := self.last[child]) and self._fit(before, t):
+                self.ends[s][c] = count + 1
+                return count + 1
+        raise AssertionError("no token ends the word")
+
+    def word(self, word: str) -> int:
+        """Tokens of one word of the splitting rule, given in letters of the vocabulary."""
+        s = n = 0
+        if len(self.state) > self.most_states:
+            self._reset()
+        moves = self.moves
+        for c in word[:-1]:
+            s, change = moves[s].get(c) or self._move(s, c)
+            n += change
+        return n + (self.ends[s].get(word[-1]) or self._finish(s, word[-1]))
+
+    def piece(self, piece: str) -> int:
+        """Tokens of a piece without white space."""
+        if piece in self.words:
+            return self.words[piece]
+        if "<|" in piece:
+            n = len(self.library.encode(piece, add_special_tokens=False).ids)
+        elif piece.isascii():
+            n = sum(self.word(w if w.isprintable() else "".join([self.letter[ord(c)] for c in w])) for w in _ASCII_SPLIT.findall(piece.lower()))
+        else:
+            n = sum(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece)))
+        if len(self.words) >= self.most_words:
+            self.words.clear()
+        if len(piece) < 64:
+            self.words[piece] = n
         return n
 
     def pieces(self, text: str) -> int:
         """Tokens of a text cut at ASCII white space."""
-        if text.isascii() and "<|" not in text and not any(c in text for c in _SEPARATORS):
-            return sum(map(self.__getitem__, text.lower().split()))  # lower case is what the normaliser makes of it
-        for c in _SPACE[:-1]:
-            text = text.replace(c, " ")
-        return sum(map(self.__getitem__, text.split(" ")))
+        if any(c in text for c in _SEPARATORS):
+            for c in _SPACE[:-1]:
+                text = text.replace(c, " ")
+            parts = [x for x in text.split(" ") if x]
+        else:
+            parts = text.split()  # white space beyond ASCII separates words, too
+        known, piece = self.words.get, self.piece
+        n = 0
+        for p in parts:
+            k = known(p)
+            n += piece(p) if k is None else k
+        return n
 
     def chunk(self, text: str) -> tuple[str, int, str | None]:
         """(head, tokens, tail): tail is None if the chunk has no white space, and then head is the whole chunk."""
@@ -61,7 +214,7 @@ class Transducer(dict):
             return a[0] + b[0], b[1], b[2]
         if b[2] is None:
             return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self[a[2] + b[0]] + b[1], b[2]
+        return a[0], a[1] + self.pieces(a[2] + b[0]) + b[1], b[2]
 
     def count(self, text: str, size: int = CHUNK) -> int:
         if len(text) <= size:
@@ -70,11 +223,9 @@ class Transducer(dict):
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         head, n, tail = maps[0]
-        return n + self[head] + (self[tail] if tail is not None else 0)
+        return n + self.pieces(head) + (self.pieces(tail) if tail is not None else 0)
 
 
-# str.split() also cuts at the four ASCII separators, which the tokenizer keeps within a piece
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _compiled: dict[int, Transducer] = {}
 
 
@@ -90,10 +241,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; tokenizer: path of a tokenizers JSON file, read on the driver.
 
     Null texts count as empty (0 tokens). Repeated rows and null ids stay as they are. The file's text goes to the workers
-    as one broadcast, bounded by the file's size (about 2 MB).
+    as one broadcast, bounded by the file's size (about 2 MB). A tokenizer outside the compiled class is refused with a ValueError.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    transducer(text)  # refused here, not in a task
+    source = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(source.value)
