@@ -202,7 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
         alike = alike.join(one.hint("merge"), "key").where(F.struct("d", "t", "start") != F.col("one"))
     contexts = several.groupBy("key", "c0", "c1").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t", "start", "last", "offset")).alias("one"))
     contexts = materialize(contexts, "contexts")
-    again = several.select("key", "c0", "c1", "d", "t", "start", "last").join(contexts.where("copies > 1").select("key", "c0", "c1", "one").hint("merge"), ["key", "c0", "c1"])
+    # dealt by document first: rows of a hot context would else come from one task, and a skewed join can't split those
+    again = several.select("key", "c0", "c1", "d", "t", "start", "last").repartition("d", "t").join(contexts.where("copies > 1").select("key", "c0", "c1", "one").hint("merge"), ["key", "c0", "c1"])
     if keep_first:
         again = again.where(F.struct("d", "t", "start") != F.struct("one.d", "one.t", "one.start"))
     large = materialize(contexts.groupBy("key").count().where(F.col("count") > block).select("key", F.lit(True).alias("large")), "large")
