@@ -78,7 +78,9 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long, each once) that connect all those within three bits."""
     # the bits below the block, then those above it in the block's place; the block's number on top
     key = "((fp ^ x.f) & x.low) | (shiftrightunsigned(fp ^ x.f, x.width) & ~x.low) | shiftleft(x.b, 60)"
-    rows = fps.select("fp", _balls().alias("x")).select(
+    # dealt out first: a small table of fingerprints would be read by a few tasks, which then make all the variants
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.repartition(n, "fp").select("fp", _balls().alias("x")).select(
         "fp",
         F.expr(key).alias("key"),
         F.expr("cast(shiftrightunsigned(fp, x.first) & x.values as int)").alias("v"),
