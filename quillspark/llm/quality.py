@@ -1,9 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the labelled rows of quality 1 in the learning folds; the unlabelled set is web text of the same
-folds without its labels. The model minimises the non-negative unbiased risk
+folds without its labels, and rows labelled 0 are never used as such. The models minimise the non-negative unbiased risk
     pi * E_pos[loss(+)] + max(0, E_unl[loss(-)] - pi * E_pos[loss(-)])
-with the logistic loss, over quantile-binned style features of the whole text. pi is the estimated class prior.
+with the logistic loss and a ridge, over quantile-binned style features of the whole text. Each model leaves one part of
+the rows out and is averaged into the final one. The scores of the parts left out, which no model has seen, give the class
+prior (best-bin estimate) and the posterior: prior times the density ratio of positives to unlabelled rows, kept monotone by
+pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from quillspark.llm.util import chunks, fold, hashed_words, table, text_bytes
 THRESHOLD = 0.3
 MOST_POSITIVE = MOST_UNLABELLED = 20_000
 BINS = 24
-BETA = 0.1
+FOLDS, RIDGE, INNER_PRIOR = 3, 30.0, 0.5  # ridge: over the number of rows; the inner prior only orders, the posterior sets the level
 NAMES = (
     "log_bytes", "upper", "digit", "space", "line", "symbol", "stop", "comma", "pipe", "bang", "other_punct", "high", "word_len",
     "log_words", "distinct", "same_as_previous", "top_word", "line_len", "vowel", "symbol_run",
@@ -80,61 +83,64 @@ class Model:
     edges: np.ndarray  # feature x inner bin edges
     weights: np.ndarray  # feature x bin
     bias: float
+    levels: tuple[np.ndarray, np.ndarray] | None = None  # logits and their posteriors, both ascending
 
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        bins = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
+        return np.clip(self.weights[np.arange(x.shape[1]), bins].sum(axis=1) + self.bias, -30, 30)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.weights[np.arange(x.shape[1]), self.bins(x)].sum(axis=1) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = self.logits(x)
+        own = 1 / (1 + np.exp(-z))
+        return own if self.levels is None else 0.98 * np.interp(z, *self.levels) + 0.02 * own  # a little of it orders scores within one level
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 25, decay: float = 1e-4, beta: float = BETA) -> Model:
-    """Minimise the risk by Newton steps; a step that would bring the negative part of the risk below -beta is shortened.
+def edges_of(x: np.ndarray) -> np.ndarray:
+    return np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
 
-    beta is the room that the estimate of a true zero needs, as labels and prior are samples.
 
-    With the logistic loss the risk is E_unl[log(1 + e^z)] - pi * E_pos[z], which is convex in the weights; decay is the ridge.
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.ndarray, rounds: int = 25, ridge: float = RIDGE) -> Model:
+    """Minimise the risk by Newton steps; a step that would bring the negative part of the risk below zero is shortened.
+
+    With the logistic loss the risk is E_unl[log(1 + e^z)] - pi * E_pos[z], which is convex in the weights.
     """
-    both = np.concatenate([positive, unlabelled])
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    m = Model(edges, np.zeros((both.shape[1], BINS)), 0.0)
-    f = both.shape[1]
+    f = positive.shape[1]
+    decay = ridge / (len(positive) + len(unlabelled))
 
     def wide(x: np.ndarray) -> np.ndarray:
+        bins = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(edges, x.T, strict=True)], axis=1)
         out = np.zeros((len(x), f * BINS + 1), dtype=np.float32)
-        out[np.arange(len(x))[:, None], m.bins(x) + np.arange(f) * BINS] = 1
+        out[np.arange(len(x))[:, None], bins + np.arange(f) * BINS] = 1
         out[:, -1] = 1
         return out
 
     xp, xu = wide(positive), wide(unlabelled)
-    centre, ridge = prior * xp.mean(axis=0), np.append(np.full(f * BINS, decay), 1e-8)
+    centre, ridges = prior * xp.mean(axis=0), np.append(np.full(f * BINS, decay), 1e-8)
     w = np.zeros(f * BINS + 1)
 
     def risk(w: np.ndarray) -> tuple[float, float]:
         zp, zu = xp @ w, xu @ w
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return prior * np.logaddexp(0, -zp).mean() + max(-beta, negative) + 0.5 * (ridge * w * w).sum(), negative
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + 0.5 * (ridges * w * w).sum(), negative
 
     now, _ = risk(w)
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(xu @ w, -30, 30)))
-        g = xu.T @ s / len(xu) - centre + ridge * w
-        h = (xu * (s * (1 - s) / len(xu)).astype(np.float32)[:, None]).T @ xu + np.diag(ridge + 1e-9)
+        g = xu.T @ s / len(xu) - centre + ridges * w
+        h = (xu * (s * (1 - s) / len(xu)).astype(np.float32)[:, None]).T @ xu + np.diag(ridges + 1e-9)
         step = np.linalg.solve(h.astype(np.float64), g)
         size = 1.0
         while size > 1e-3:
             new, negative = risk(w - size * step)
-            if negative >= -beta and new < now:
+            if negative >= 0 and new < now:
                 break
             size /= 2
         else:
             break
-        w, done, now = w - size * step, now - new < 1e-7, new
+        w, done, now = w - size * step, now - new < 1e-6, new
         if done:
             break
-    m.weights, m.bias = w[:-1].reshape(f, BINS), float(w[-1])
-    return m
+    return Model(edges, w[:-1].reshape(f, BINS), float(w[-1]))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.05) -> float:
@@ -144,7 +150,41 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     slack = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive)))
     best = np.argmin((u + slack) / p)
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+    return float(np.clip(u[best] / p[best], 0.01, 0.97))
+
+
+def posterior(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending scores and prior * p(score | positive) / p(score | unlabelled) there, at most 1, monotone."""
+    z = np.concatenate([positive, unlabelled])
+    order = np.argsort(z, kind="stable")
+    y = np.concatenate([np.ones(len(positive)), np.zeros(len(unlabelled))])[order]
+    pools: list[list[float]] = []  # positives, rows, first and last score
+    for score, own in zip(z[order].tolist(), y.tolist(), strict=True):
+        pools.append([own, 1.0, score, score])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            own, rows, _, last = pools.pop()
+            pools[-1][0] += own
+            pools[-1][1] += rows
+            pools[-1][3] = last
+    share = np.array([p / n for p, n, *_ in pools])
+    level = np.minimum(prior * share / np.maximum(1 - share, 1e-9) * len(unlabelled) / len(positive), 1)
+    return np.array([x for p in pools for x in p[2:]]), np.repeat(level, 2)
+
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, folds: int = FOLDS) -> Model:
+    edges = edges_of(np.concatenate([positive, unlabelled]))
+    folds = min(folds, len(positive), len(unlabelled))
+    i, j = np.arange(len(positive)) % max(folds, 1), np.arange(len(unlabelled)) % max(folds, 1)
+    if folds < 2:
+        models = [fit(positive, unlabelled, INNER_PRIOR, edges)]
+        zp, zu = models[0].logits(positive), models[0].logits(unlabelled)
+    else:
+        models = [fit(positive[i != k], unlabelled[j != k], INNER_PRIOR, edges) for k in range(folds)]
+        zp, zu = np.empty(len(positive)), np.empty(len(unlabelled))
+        for k, m in enumerate(models):
+            zp[i == k], zu[j == k] = m.logits(positive[i == k]), m.logits(unlabelled[j == k])
+    prior = estimate_prior(zp, zu) if prior is None else prior
+    return Model(edges, np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])), posterior(zp, zu, prior))
 
 
 def _featured(docs: DataFrame, ids: DataFrame) -> np.ndarray:
@@ -167,23 +207,14 @@ def _sample(ids: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model | None:
     """Fit on at most most_positive trusted positives and most_unlabelled unlabelled documents, both by least id hash, learning folds only.
 
-    prior: by default the share of label 1 among all labelled rows of the learning folds; where no 0 is labelled, the best-bin
-    estimate. None comes back where there are no positives or no documents.
+    prior: by default the best-bin estimate. None comes back where there are no positives or no documents.
     """
-    learn = labels.where(fold(F.col("doc_id")) != 0).where(F.col("quality").isNotNull())
-    ones, n = learn.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-    if not ones:
+    known = labels.where(fold(F.col("doc_id")) != 0).where("quality = 1")
+    if known.isEmpty():
         return None
-    p = _featured(docs, _sample(learn.where("quality = 1"), most_positive))
+    p = _featured(docs, _sample(known, most_positive))
     u = _featured(docs, _sample(docs.where(fold(F.col("doc_id")) != 0), most_unlabelled))
-    if not len(p) or not len(u):
-        return None
-    if prior is None and ones < n:
-        prior = ones / n
-    if prior is None:
-        first = fit(p, u, 0.5)
-        prior = estimate_prior(first.score(p), first.score(u))
-    return fit(p, u, prior)
+    return learn(p, u, prior) if len(p) and len(u) else None
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
