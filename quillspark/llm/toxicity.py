@@ -6,24 +6,28 @@ both. A document is scored by length-normalised log-likelihood differences: of t
 windows of fixed lengths. Windows are compared at the continuation level, since a context that repeated passages fill
 makes every other follower look rare. A logistic curve fitted on rows that the counts have not seen turns them into a probability.
 
-Words and pairs are keyed by their whole 64-bit hashes, and the tables hold all that the labelled learning rows hold, so
-they grow with these rows. Words in none of them need no entry: their shared probability cancels out between the classes.
+Words and pairs are keyed by their whole 64-bit hashes, and all labelled learning rows are counted, so the tables grow with
+them. Of the counts, only those that tell the classes apart are needed: what no class has at more than DISCOUNT
+places gives all its mass to the shared counts, which cancel out. Tables of up to MOST_ENTRIES entries are broadcast;
+larger ones are joined to the documents' words, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.util import chunks, fold, hashed_words, materialize, mix, table, text_bytes
 
 THRESHOLD = 0.5
 MOST_ROWS = 20_000  # for the curve's few weights
+MOST_ENTRIES = 4_000_000  # of 24 to 40 bytes each
 DISCOUNT, WINDOWS = 4, (1, 4)  # the discount is high: of words and pairs seen a few times only, nearly all mass goes to the shared counts
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,22 +47,21 @@ def _places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes of the words that learning rows hold
-    pairs: np.ndarray  # sorted keys of their pairs of more than DISCOUNT places in a class
+    words: np.ndarray  # sorted hashes of the words of more than DISCOUNT contexts in a class
+    contexts: np.ndarray  # sorted hashes of the words before a pair of more than DISCOUNT places in a class
+    pairs: np.ndarray  # sorted keys of such pairs
     own: np.ndarray  # class x word: interpolated continuation probability; here and below, the last entry is for all others
-    context: np.ndarray  # class x (count, discounted mass) x word
+    context: np.ndarray  # class x (count, discounted mass) x context
     pair: np.ndarray  # class x pair: discounted bigram counts
-    curve: np.ndarray  # weights of the logistic curve
 
     def likelihoods(self, word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(toxic) - log P(ordinary) of each word after the word before it, and without the word before it."""
         before, key = _pairs(word, doc)
-        first, at = before == 0, _places(self.pairs, key)
+        first, at, context = before == 0, _places(self.pairs, key), _places(self.contexts, before)
         word = _places(self.words, word)
-        before = np.concatenate([[-1], word[:-1]])
         out = []
         for c in (1, 0):
-            count, mass = self.context[c, 0][before], self.context[c, 1][before]
+            count, mass = self.context[c, 0][context], self.context[c, 1][context]
             p = self.own[c][word]
             known = ~first & (count > 0)
             safe = np.maximum(count, 1)
@@ -87,31 +90,86 @@ class Model:
             out[a:b, -1] = np.log1p(n)
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        x = self.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.curve, -30, 30)))
 
-
-def _shared(docs: DataFrame, words: np.ndarray) -> np.ndarray:
-    """Probabilities of the words over all documents, and at the end one for a word of one place."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
+@dataclass
+class Scorer:
+    """Tables of the counts and the weights of the curve; model: the tables as arrays where they are small enough, broadcast."""
+
+    words: DataFrame  # w, p0, p1: interpolated continuation probabilities
+    contexts: DataFrame  # u, s0, s1, m0, m1: counts and discounted masses
+    pairs: DataFrame  # u, w, s0, s1: discounted counts
+    other: float  # log of the ratio of the classes' probabilities of all other words
+    model: object | None
+    curve: np.ndarray | None = None
+
+    def evidence(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """(keep, a, b, c, d) for each row of docs, which has text as bytes; keep are long columns."""
+        return self._mapped(docs, keep) if self.model else self._joined(docs, keep)
+
+    def _mapped(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        held = self.model
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                x = held.value.evidence(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in x.T)], names=[*keep, *"abcd"])
+
+        return docs.select("text", *keep).mapInArrow(run, ", ".join([*(f"{k} long" for k in keep), *(f"{c} double" for c in "abcd")]))
+
+    def _joined(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                texts, rid = batch.column(1).to_pylist(), batch.column(0)
+                for a, b in chunks(texts):
+                    word, doc = hashed_words(texts[a:b])
+                    before, _ = _pairs(word, doc)
+                    for i in range(0, len(word), 1 << 16):
+                        j = slice(i, i + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[j] + a)), pa.array(np.arange(len(word))[j]), pa.array(before[j].view(np.int64)), pa.array(word[j].view(np.int64))], names=["rid", "i", "u", "w"])
+
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "text", *keep), "rows")
+        t = rows.select("rid", "text").mapInArrow(run, "rid long, i long, u long, w long")
+        t = t.join(self.words, "w", "left").join(self.contexts, "u", "left").join(self.pairs.withColumnsRenamed({"s0": "q0", "s1": "q1"}), ["u", "w"], "left")
+        alone = F.coalesce(F.log(F.col("p1") / F.col("p0")), F.lit(self.other))
+        # of a word in no table, only the ratio of the probabilities counts
+        p = {0: F.coalesce("p0", F.lit(1.0)), 1: F.coalesce("p1", F.lit(float(np.exp(self.other))))}
+        full = {c: F.when((F.col("u") != 0) & (F.col(f"s{c}") > 0), (F.coalesce(f"q{c}", F.lit(0.0)) + F.col(f"m{c}") * p[c]) / F.col(f"s{c}")).otherwise(p[c]) for c in (0, 1)}
+        w = Window.partitionBy("rid").orderBy("i").rowsBetween(0, WINDOWS[1] - 1)
+        t = t.select("rid", F.log(full[1] / full[0]).alias("x"), alone.alias("y"), (F.sum(alone).over(w) / WINDOWS[1]).alias("z"))
+        t = t.groupBy("rid").agg(F.avg("x").alias("a"), F.max("y").alias("b"), F.max("z").alias("c"), F.log1p(F.count("*")).alias("d"))
+        return rows.select("rid", *keep).join(t, "rid", "left").select(*keep, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "abcd"])
+
+    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """(keep, score)"""
+        logit = reduce(lambda a, b: a + b, [F.col(k) * float(w) for k, w in zip("abcd", self.curve[:-1], strict=True)]) + float(self.curve[-1])
+        return self.evidence(docs, keep).select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).alias("score"))
+
+
+def _shared(docs: DataFrame, words: DataFrame, small: bool) -> tuple[DataFrame, float]:
+    """(w, n): the words' places over all documents; and all places of all words."""
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(words.toArrow()["w"].to_numpy().view(np.uint64)) if small else None)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(held.value) + 1, dtype=np.int64)
+        keys, total = held.value, 0
+        n = np.zeros(len(keys) + 1 if small else 0, dtype=np.int64)
         for batch in it:
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
-                n += np.bincount(_places(held.value, hashed_words(texts[a:b])[0]), minlength=len(n))
-        at = np.flatnonzero(n)
+                word = hashed_words(texts[a:b])[0]
+                total += len(word)
+                if small:
+                    n += np.bincount(_places(keys, word), minlength=len(n))
+                else:
+                    w, k = np.unique(word, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k)], names=["w", "n"])
+        at = np.flatnonzero(n[:-1]) if small else np.zeros(0, dtype=np.int64)
         for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at[i : i + (1 << 16)]].view(np.int64)), pa.array(n[at[i : i + (1 << 16)]])], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["w", "n"])
 
-    rows = docs.select(text_bytes()).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(len(words) + 1)
-    n[rows["w"].to_numpy()] = rows["n"].to_numpy()
-    total = max(n.sum(), 1)
-    n[-1] = 1
-    return np.maximum(n, 1) / total
+    rows = materialize(docs.select(text_bytes()).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "places")
+    total = rows.where("w IS NULL").agg(F.sum("n")).first()[0] or 0
+    return rows.where("w IS NOT NULL").join(words.select("w"), "w", "left_semi"), float(max(total, 1))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int | None = None) -> DataFrame:
@@ -120,10 +178,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int |
     if most is not None:
         parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
         rows = parts[0].union(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(text_bytes(), "y")
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(text_bytes().alias("text"), "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES) -> Scorer | None:
     """Fit on labelled rows of the learning folds: all of folds 2 to 4 give counts, at most most_rows of each class in fold 1 the curve.
 
     The shared backoff counts come from all documents. None comes back unless both classes are there.
@@ -143,38 +201,39 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     counted = _labelled(docs, labels, [2, 3, 4]).mapInArrow(pairs, "u long, w long, c0 long, c1 long")
     counted = materialize(counted.groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
     less = [F.least(F.col(f"c{c}"), F.lit(DISCOUNT)) for c in (0, 1)]
-    kinds = [F.sum((F.col(f"c{c}") > 0).cast("int")).alias(f"n{c}") for c in (0, 1)]
-    sums = [F.sum(f"c{c}").alias(f"s{c}") for c in (0, 1)]
-    masses = [F.sum(less[c]).alias(f"m{c}") for c in (0, 1)]
-    by_word = counted.groupBy("w").agg(*kinds).toArrow()
-    by_context = counted.where("u <> 0").groupBy("u").agg(*sums, *masses).toArrow()
-    by_pair = counted.where(F.greatest("c0", "c1") > DISCOUNT).select("u", "w", *[(F.col(f"c{c}") - less[c]).cast("float").alias(f"s{c}") for c in (0, 1)]).toArrow()
-    hashes = lambda rows, name: rows[name].to_numpy().view(np.uint64)
-    keys = mix(hashes(by_pair, "u") * _SALT + hashes(by_pair, "w"))
-    order, by = np.argsort(hashes(by_word, "w")), np.argsort(keys)
-    words, keys = hashes(by_word, "w")[order], keys[by]
-    shared, at = _shared(docs, words), _places(words, hashes(by_context, "u"))
-    size = len(words) + 1
-    own, context, pair = np.zeros((2, size)), np.zeros((2, 2, size), dtype=np.float32), np.zeros((2, len(keys) + 1), dtype=np.float32)
-    for c in (0, 1):
-        n = np.append(by_word[f"n{c}"].to_numpy()[order], 0)
-        if not n.sum():
-            return None
-        own[c] = np.maximum(n - DISCOUNT, 0) / n.sum() + np.minimum(n, DISCOUNT).sum() / n.sum() * shared
-        context[c, 0][at] = by_context[f"s{c}"].to_numpy()
-        context[c, 1][at] = by_context[f"m{c}"].to_numpy()
-        pair[c][:-1] = by_pair[f"s{c}"].to_numpy()[by]
-    model = Model(words, keys, own.astype(np.float32), context, pair, np.zeros(len(WINDOWS) + 3))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = held.value.evidence(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*"abcd", "y"])
-
-    seen = _labelled(docs, labels, [1], most_rows).mapInArrow(weigh, "a double, b double, c double, d double, y int").toArrow()
-    model.curve = _logistic(np.column_stack([seen[k].to_numpy() for k in "abcd"]), seen["y"].to_numpy())
-    return model
+    kinds = counted.groupBy("w").agg(*[F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"n{c}") for c in (0, 1)])
+    kinds = materialize(kinds, "kinds")
+    sums = kinds.agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(F.least(f"n{c}", F.lit(DISCOUNT))).alias(f"m{c}") for c in (0, 1)]).first()
+    if not sums.n0 or not sums.n1:
+        return None
+    contexts = counted.where("u <> 0").groupBy("u").agg(*[F.sum(f"c{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum(less[c]).alias(f"m{c}") for c in (0, 1)]).where("s0 > m0 OR s1 > m1")
+    contexts = materialize(contexts, "contexts")
+    pair = counted.where(F.greatest("c0", "c1") > DISCOUNT).select("u", "w", *[(F.col(f"c{c}") - less[c]).cast("double").alias(f"s{c}") for c in (0, 1)])
+    # a word of few contexts may still end such a pair, and then its shared count doesn't cancel out
+    ends = pair.select("w", F.lit(True).alias("ends")).distinct()
+    words = materialize(kinds.join(ends, "w", "left").where((F.greatest("n0", "n1") > DISCOUNT) | F.col("ends")).drop("ends"), "kept")
+    small = words.count() + contexts.count() + pair.count() <= most_entries
+    places, total = _shared(docs, words, small)
+    share = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) / total
+    p = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0)) / sums[f"n{c}"] + sums[f"m{c}"] / sums[f"n{c}"] * share for c in (0, 1)]
+    words = materialize(words.join(places, "w", "left").select("w", p[0].alias("p0"), p[1].alias("p1")), "words")
+    rest = [sums[f"m{c}"] / sums[f"n{c}"] / total for c in (0, 1)]
+    scorer = Scorer(words, contexts, pair, float(np.log(rest[1] / rest[0])), docs.sparkSession.sparkContext.broadcast(_arrays(words, contexts, pair, rest)) if small else None)
+    seen = scorer.evidence(_labelled(docs, labels, [1], most_rows).withColumn("y", F.col("y").cast("long")), ["y"]).toArrow()
+    scorer.curve = _logistic(np.column_stack([seen[k].to_numpy() for k in "abcd"]), seen["y"].to_numpy())
+    return scorer
+
+
+def _arrays(words: DataFrame, contexts: DataFrame, pairs: DataFrame, rest: list[float]) -> Model:
+    """The tables as sorted arrays; at most MOST_ENTRIES rows in all."""
+    words, contexts, pairs = words.toArrow(), contexts.toArrow(), pairs.toArrow()
+    w, u = words["w"].to_numpy().view(np.uint64), contexts["u"].to_numpy().view(np.uint64)
+    k = mix(pairs["u"].to_numpy().view(np.uint64) * _SALT + pairs["w"].to_numpy().view(np.uint64))
+    a, b, c = np.argsort(w), np.argsort(u), np.argsort(k)
+    end = lambda x, order, last: np.append(x.to_numpy()[order], last)
+    own = np.stack([end(words[f"p{y}"], a, rest[y]) for y in (0, 1)])
+    context = np.stack([np.stack([end(contexts[f"{x}{y}"], b, 0) for x in "sm"]) for y in (0, 1)]).astype(np.float64)
+    return Model(w[a], u[b], k[c], own, context, np.stack([end(pairs[f"s{y}"], c, 0) for y in (0, 1)]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -193,22 +252,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Null texts count as empty; a text without words has zero evidence and is scored by the curve. Repeated rows and null ids
     stay (a null id is not held out). Without rows of both classes to learn from, every score is 0.
     """
-    model = train(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = batch.column(1).to_pylist()
-            s = held.value.score(texts) if held.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    out = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, score double")
+    scorer = train(docs, labels, most_entries=most_entries)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    out = scorer.score(rows, ["doc_id"]) if scorer else rows.select("doc_id", F.lit(0.0).alias("score"))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

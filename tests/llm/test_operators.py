@@ -157,6 +157,29 @@ def test_repeated_secrets(spark, gap):
     assert "qX7v" not in secrets.redact(docs_of(spark, [(1, text, "s")])).first().text
 
 
+def test_novelty_of_planted_secrets_and_of_identifiers():
+    rng = random.Random(5)
+    frames = ["client secret is {}\n", "Authorization Bearer {}\n", "the private key was {} yesterday\n", "set credential '{}' for the job\n", "const pwd_store = load('{}')\n"]
+    code = ["def load(path):\n    return open(path).read()\n", "import os\nvalue = os.environ.get('HOME')\n", "Plain words that go on for a while.\n", "The connection string is read from the configuration file.\n"]
+    words = "authentication session manager config value service client request user name table version default connection path location resource template".split()
+
+    def found(s):
+        text = "".join(rng.choice(code) for _ in range(rng.randrange(20))) + rng.choice(frames).format(s) + "".join(rng.choice(code) for _ in range(rng.randrange(20)))
+        return any(text[a:b] == s for a, b, k in secrets.all_spans(text.encode())[1] if k == "novel")
+
+    random_ones = ["7" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(19, 40))) for _ in range(200)]
+    clean = [rng.choice("_-/").join(rng.choice(words) for _ in range(rng.randrange(3, 7))) + str(rng.randrange(100)) for _ in range(200)]
+    assert sum(map(found, random_ones)) >= 196
+    assert sum(map(found, clean)) <= 20
+
+
+def test_offsets_of_many_spans():
+    text = ("é token = " + "a1" * 8 + " ") * 3000
+    base, _ = secrets.all_spans(text.encode())
+    points = secrets._points(text.encode(), base)
+    assert len(points) == 6000 and all(text[a:b].startswith("token" if k == "assign" else "a1") for a, b, k in points)
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -174,18 +197,44 @@ def test_tokens_equal_the_library():
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    q = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out")
-    assert q.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
+    q = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").select((F.col("predicted") == F.col("quality")).alias("right"), "quality").collect()
+    zeros = [r.right for r in q if r.quality == 0]
+    assert sum(r.right for r in q) >= 0.97 * len(q)
+    assert sum(zeros) >= 0.9 * len(zeros)
     x = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out")
     assert x.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.95
 
 
+def test_quality_beats_the_majority_on_few_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    q = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in q) > sum(r.quality for r in q)
+
+
+def test_quality_needs_no_zeros(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    a, b = (quality.quality_scores(docs, x).orderBy("doc_id").collect() for x in (labels, labels.where("quality = 1")))
+    assert a == b
+
+
+def test_toxicity_joined_equals_broadcast(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").limit(400), spark.read.parquet(f"{d}/labels.parquet")
+    a, b = ({r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels, most_entries=n).collect()} for n in (toxicity.MOST_ENTRIES, 0))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-6
+    assert len({round(x, 6) for x in a.values()}) > 100
+
+
 def test_toxicity_tables_grow(spark):
-    texts = [(i, " ".join(f"x{i}y{j}" for j in range(900)), "s") for i in range(2500)]
-    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(2500)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs_of(spark, texts), labels)
-    seen = sum(zlib.crc32(str(i).encode()) % 5 >= 2 for i in range(2500))
-    assert len(model.words) == 900 * seen > 1 << 20
-    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100_000)], "doc_id long, quality int, toxic int")
-    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
-    assert len(toxicity.train(docs, labels).words) == sum(zlib.crc32(str(i).encode()) % 5 >= 2 for i in range(100_000))
+    def kept(n):
+        # each word follows five others
+        texts = [(i, " ".join(f"w{k}x{i} v{i}" for k in range(5)), "s") for i in range(n)]
+        labels = spark.createDataFrame([(i, 0, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+        return toxicity.train(docs_of(spark, texts), labels).words.count()
+
+    def seen(n):
+        return sum(zlib.crc32(str(i).encode()) % 5 >= 2 for i in range(n))
+
+    assert [kept(n) for n in (200, 2000)] == [seen(200), seen(2000)]
