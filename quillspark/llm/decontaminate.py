@@ -60,13 +60,13 @@ def occurrences(tokens: DataFrame, benchmark: DataFrame, width: int, block_bytes
     return reduce(DataFrame.union, [_block(tokens, p) for p in parts]), items.select("win_id", "item_id")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, keep), a row for each row of docs; keep are further columns of docs, of other names.
 
     Null and wordless texts have no words and no hits; wordless items have no windows. Rows with equal or null doc_id are
     judged apart (rid tells them apart). An empty benchmark contaminates nothing.
     """
-    tokens = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("words")).withColumn("n_words", F.size("words").cast("long")), "words")
+    tokens = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("words"), *keep).withColumn("n_words", F.size("words").cast("long")), "words")
     found, items = occurrences(tokens, benchmark, width, block_bytes)
     found = materialize(found, "hits")
     before = F.coalesce(previous_max("stop", ["rid"], ["start", "stop"]), F.lit(0))
@@ -74,9 +74,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     named = found.select("rid", "win_id").distinct().join(items, "win_id").groupBy("rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hits = covered.join(named, "rid")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return tokens.select("rid", "doc_id", "n_words").join(hits, "rid", "left").select(
+    return tokens.select("rid", "doc_id", "n_words", *keep).join(hits, "rid", "left").select(
         "rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *keep,
     )
 
 

@@ -86,26 +86,26 @@ def plan(counts: DataFrame, weights: dict[str, float] | None = None, parts: int
     return own.groupBy("source").agg(F.collect_list(F.struct("c0", "c1", "s0", "q", "h", "slots")).alias("runs"))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, parts: int = PARTS) -> DataFrame:
-    """(doc_id, source, block, slot, release, deadline) for every row: read in the order of slot, 0 to rows - 1.
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, parts: int = PARTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, block, slot, release, deadline, keep) for every row: read in the order of slot, 0 to rows - 1; keep are further columns of docs.
 
     Within a source, documents come by a hash of doc_id, then doc_id. A null source is a source of its own. Rows with equal
     ids are blocks of their own; null ids have one hash and so come together. The rank within a source is counted in 4,096
     hash ranges, so a source of any size spreads over tasks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit(_NONE)).alias("source"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit(_NONE)).alias("source"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), *keep)
     rows = rows.withColumn("bin", F.shiftrightunsigned("h", 64 - RANK_BITS).cast("int"))
     bins = rows.groupBy("source", "bin").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id")) - 1)
-    ranked = ranked.join(bins.select("source", "bin", before.alias("before")), ["source", "bin"]).select("doc_id", "source", (F.col("before") + F.col("at")).alias("block"))
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id", *keep)) - 1)
+    ranked = ranked.join(bins.select("source", "bin", before.alias("before")), ["source", "bin"]).select("doc_id", "source", (F.col("before") + F.col("at")).alias("block"), *keep)
     runs = plan(bins.groupBy("source").agg(F.sum("n").alias("n")), weights, parts)
     k = F.col("block") - F.col("r.c0")
     j, base = k % F.col("r.q"), F.col("r.s0") + F.floor(k / F.col("r.q")) * F.col("r.h")
-    placed = ranked.join(runs, "source").select("doc_id", "source", "block", F.element_at(F.filter("runs", lambda r: (r["c0"] <= F.col("block")) & (F.col("block") < r["c1"])), 1).alias("r"))
+    placed = ranked.join(runs, "source").select("doc_id", "source", "block", *keep, F.element_at(F.filter("runs", lambda r: (r["c0"] <= F.col("block")) & (F.col("block") < r["c1"])), 1).alias("r"))
     return placed.select(
         "doc_id", F.when(F.col("source") != _NONE, F.col("source")).alias("source"), F.col("block").cast("long").alias("block"), (base + F.col("r.slots")[j.cast("int")]).cast("long").alias("slot"),
-        (base + F.floor(j * F.col("r.h") / F.col("r.q"))).cast("long").alias("release"), (base + F.ceil((j + 1) * F.col("r.h") / F.col("r.q"))).cast("long").alias("deadline"),
+        (base + F.floor(j * F.col("r.h") / F.col("r.q"))).cast("long").alias("release"), (base + F.ceil((j + 1) * F.col("r.h") / F.col("r.q"))).cast("long").alias("deadline"), *keep,
     )
 
 

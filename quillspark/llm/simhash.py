@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.util import connected_components, materialize, table, text_bytes
 
@@ -46,20 +47,17 @@ def simhash(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _batches(width: int, seed: int):
+def _batches(at: int, width: int, seed: int):
+    """The fingerprint after the first `at` columns, in place of the text."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = np.array([simhash(t, width, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            out = np.array([simhash(t, width, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.int64())], names=[*batch.schema.names[:at], "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) for every row."""
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_batches(width, seed), "doc_id long, fp long")
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -105,21 +103,29 @@ def links(fps: DataFrame) -> DataFrame:
     return member.union(step).union(inside).where("a <> b").distinct()
 
 
+def grouped(docs: DataFrame, ids: list[str], width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(ids, fp, least) for every row: least is the struct of the least ids, nulls last, among the rows reachable over links of at most three bits."""
+    fps = docs.select(*ids, text_bytes()).mapInArrow(_batches(len(ids), width, seed), StructType([*docs.select(*ids).schema.fields, StructField("fp", LongType())]))
+    fps = materialize(fps, "simhash")
+    order = F.struct(*[x for c in ids for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    least = fps.groupBy("fp").agg(F.min(order).alias("least"))
+    parts = connected_components(links(least.select("fp")))
+    named = parts.join(least, parts.node == least.fp).select("fp", "component", "least")
+    first = named.groupBy("component").agg(F.min("least").alias("least"))
+    far = named.join(first.withColumnRenamed("least", "far"), "component").select("fp", "far")
+    # as a table, so that the join below is one of two plain shuffles, whose hot fingerprints adaptive execution splits
+    name = materialize(least.join(far, "fp", "left").select("fp", F.coalesce("far", "least").alias("least")), "names")
+    return fps.join(name, "fp").select(*ids, "fp", "least")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most three bits.
 
     A text without words has fingerprint 0 and is linked like any other. Null texts count as empty; a null doc_id keeps its
     row and never becomes a component_id unless the whole component has none. Repeated rows stay.
     """
-    fps = materialize(fingerprints(docs, width, seed), "simhash")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(least.select("fp")))
-    named = parts.join(least, parts.node == least.fp).select("fp", "component", "least")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    far = named.join(ids, "component").select("fp", "component_id")
-    # as a table, so that the join below is one of two plain shuffles, whose hot fingerprints adaptive execution splits
-    name = materialize(least.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "names")
-    return fps.join(name, "fp").select("doc_id", "fp", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return grouped(rows, ["doc_id"], width, seed).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def op8_simhash(spark, sf_dir):
