@@ -1,24 +1,31 @@
 """A corpus pipeline over documents: quality, near-duplicates, benchmark passages, secrets, source mixing.
 
 Each stage takes all that its predecessor kept, as a table written and read again. The first four return the columns of
-documents; the last returns the reading order. Rows without a doc_id are told apart by their text.
+documents; the last returns them with the reading order. A row is known by a 128-bit hash of all its columns, so rows that
+share a doc_id, or have none, are judged apart and only rows equal in all columns are one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from quillspark.llm import decontaminate, mixing, quality, secrets, simhash
 from quillspark.llm.util import materialize, table
 
 
-def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with one more column: doc_id, or a negative hash of the text where it is null."""
-    name = "id"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")) - 1)), name
+def _identified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two more columns, the row's hash, and their names."""
+    names = ["h0", "h1"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    columns = [F.col(f"`{f.name}`") if not isinstance(f.dataType, (MapType, VariantType)) else F.to_json(f"`{f.name}`") for f in docs.schema.fields]
+    # nulls add nothing to a hash: where they are is hashed, too
+    where = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in columns])
+    return docs.withColumns({n: F.xxhash64(F.lit(seed), where, *columns) for seed, n in enumerate(names)}), names
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +34,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document of the least id; of rows repeated under that id, one."""
-    rows, name = _identified(docs)
-    groups = simhash.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    """Of each group of SimHash near-duplicates the document of the least id (a null id comes last, ties go by hash); of equal rows one."""
+    rows, names = _identified(docs)
+    rows = rows.withColumn(name := names[0] + "_id", F.col("doc_id").cast("long"))
+    groups = simhash.grouped(rows, [name, *names])
+    kept = groups.where(reduce(lambda a, b: a & b, [F.col(n) == F.col("least")[n] for n in names])).select(*names).distinct()
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    rows, name = _identified(docs)
-    found = decontaminate.contamination(rows.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").drop(name)
+    """Documents without any benchmark window; null texts have none. Each row is judged by its own text."""
+    rows, names = _identified(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), keep=tuple(names))
+    return rows.join(found.where("contaminated").select(*names).distinct(), names, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +55,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, block, slot, release, deadline): the order in which to read all documents."""
-    return mixing.schedule(docs)
+    """All documents with (block, slot, release, deadline): the order in which to read them is that of slot, 0 to rows - 1.
+
+    Null sources are a source of their own; repeated rows and null ids get slots of their own. The order is worked out on ids
+    and hashes only, the texts are joined to it once.
+    """
+    rows, names = _identified(docs)
+    twin = names[0] + "_n"  # equal rows are told apart by number
+    rows = rows.withColumn(twin, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
+    order = mixing.schedule(rows, keep=(*names, twin)).select(*names, twin, *[F.col(c).alias(f"{c}_{names[0]}") for c in ORDER])
+    own = [f"`{c}`" for c in docs.columns if c not in ORDER]
+    return rows.join(order, [*names, twin]).select(*own, *[F.col(f"{c}_{names[0]}").alias(c) for c in ORDER])
+
 
+ORDER = ("block", "slot", "release", "deadline")
 
 STAGES = [
     ("quality", keep_quality),
