@@ -96,9 +96,10 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
+        """Only the state at the beginning of a word; a state's transitions are a dictionary by letter, with its number under the empty one."""
         self.number = {((0, None, 0),): 0}
         self.state = [((0, None, 0),)]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.moves: list[dict] = [{"": 0}]
         self.ends: list[dict[str, int]] = [{}]
 
     def _derived(self, token: str) -> tuple | None:
@@ -134,7 +135,7 @@ class Transducer:
                 self.fits[key] = not any((r := self.rank.get((x, y))) is not None and r < gone and r <= used for x, gone in self._derived(a)[1] for y, used in to[0])
         return self.fits[key]
 
-    def _move(self, s: int, c: str) -> tuple[int, int]:
+    def _move(self, s: int, c: str) -> tuple[dict, int]:
         parts, change, token = [], 0, None
         for node, before, count in self.state[s]:
             child = self.children[node].get(c)
@@ -146,9 +147,9 @@ class Transducer:
         if key not in self.number:
             self.number[key] = len(self.state)
             self.state.append(key)
-            self.moves.append({})
+            self.moves.append({"": self.number[key]})
             self.ends.append({})
-        self.moves[s][c] = out = (self.number[key], change)
+        self.moves[s][c] = out = (self.moves[self.number[key]], change)
         return out
 
     def _finish(self, s: int, c: str) -> int:
@@ -161,13 +162,13 @@ class Transducer:
 
     def word(self, word: str) -> int:
         """Tokens of one word of the splitting rule, given in letters of the vocabulary."""
-        s = n = 0
         if len(self.state) > self.most_states:
             self._reset()
-        moves = self.moves
+        moves, n = self.moves[0], 0
         for c in word[:-1]:
-            s, change = moves[s].get(c) or self._move(s, c)
+            moves, change = moves.get(c) or self._move(moves[""], c)
             n += change
+        s = moves[""]
         return n + (self.ends[s].get(word[-1]) or self._finish(s, word[-1]))
 
     def piece(self, piece: str) -> int:
@@ -177,7 +178,7 @@ class Transducer:
         if "<|" in piece:
             n = len(self.library.encode(piece, add_special_tokens=False).ids)
         elif piece.isascii():
-            n = sum(self.word(w if w.isprintable() else "".join([self.letter[ord(c)] for c in w])) for w in _ASCII_SPLIT.findall(piece.lower()))
+            n = self.word(piece.lower()) if piece.isalpha() else sum(self.word(w if w.isprintable() else "".join([self.letter[ord(c)] for c in w])) for w in _ASCII_SPLIT.findall(piece.lower()))
         else:
             n = sum(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece)))
         if len(self.words) >= self.most_words:
@@ -188,6 +189,8 @@ class Transducer:
 
     def pieces(self, text: str) -> int:
         """Tokens of a text cut at ASCII white space."""
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # what the normaliser makes of it
         if any(c in text for c in _SEPARATORS):
             for c in _SPACE[:-1]:
                 text = text.replace(c, " ")
