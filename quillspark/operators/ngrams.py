@@ -119,8 +119,8 @@ def moments(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> Dat
     sums = s.groupBy("doc_id").agg(F.sum("n").alias("n"), *[_avg(F.pow(x, F.lit(k))).alias(f"a{k}") for k in (1, 2, 3, 4)])
     a1, a2, a3, a4 = (F.col(f"a{k}") for k in (1, 2, 3, 4))
     m2, m3, m4 = a2 - a1 * a1, a3 - 3 * a1 * a2 + 2 * a1 * a1 * a1, a4 - 4 * a1 * a3 + 6 * a1 * a1 * a2 - 3 * a1 * a1 * a1 * a1
-    flat = (F.col("n") < 16) | (m2 < 1e-9)
-    zero = lambda c: F.when(flat, F.lit(0.0)).otherwise(F.round(c, 4))
+    m2 = F.when((F.col("n") >= 16) & (m2 >= 1e-9), m2)
+    zero = lambda c: F.coalesce(F.round(c, 4), F.lit(0.0))
     return sums.select("doc_id", "n", zero(m3 / F.pow(m2, F.lit(1.5))).alias("skew"), zero(m4 / (m2 * m2) - 3).alias("kurt"))
 
 
