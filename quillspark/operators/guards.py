@@ -35,7 +35,8 @@ LEAST_PATTERN = 4
 DEFECTS = (
     "地地", "的的", "是是", "的地", "可以地", "有办法地", "有效地能", "跟进着", "留着神", "在[一-鿿]{1,4}左右下", "案[察觉识看][觉破察出]场", "阵地地位", "至关关键", "最最要紧", "到到头来", "在在", "市场场景", "可以以",
 )
-EMOJI = "\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}-\\x{1F251}\\x{1F900}-\\x{1F9FF}\\x{1FA00}-\\x{1FAFF}\\x{2600}-\\x{26FF}\\x{FE00}-\\x{FE0F}\\x{200D}\\x{2B50}\\x{2764}"
+EMOJI = "\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}\\x{1F100}-\\x{1F251}\\x{1F900}-\\x{1F9FF}\\x{1FA00}-\\x{1FAFF}\\x{2600}-\\x{26FF}\\x{FE00}-\\x{FE0F}\\x{200D}\\x{2B50}\\x{2764}"
+# The enclosed characters are taken as U+24C2 and U+1F100 to U+1F251: one range from the first to the last would hold all Han characters.
 HAN = re.compile("[一-鿿]")
 
 
