@@ -54,9 +54,16 @@ def latin(t: Column) -> Column:
 
 
 def lost(before: Column, after: Column) -> Column:
-    """Distinct tokens that occur less often after than before."""
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.array_sort(F.filter(F.array_distinct(before), lambda x: times(after, x) < times(before, x)))
+    """Distinct tokens that occur less often after than before, sorted: one pass over both bags' sorted tokens."""
+    side = lambda a, n: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(n).alias("n")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    out = lambda s: F.when(s["n"] > 0, F.array_append(s["out"], s["x"])).otherwise(s["out"])
+
+    def step(s: Column, y: Column) -> Column:
+        same = F.struct(s["x"].alias("x"), (s["n"] + y["n"]).alias("n"), s["out"].alias("out"))
+        return F.when(s["x"] == y["x"], same).otherwise(F.struct(y["x"].alias("x"), y["n"].alias("n"), out(s).alias("out")))
+
+    return F.aggregate(F.array_sort(F.concat(side(before, 1), side(after, -1))), start, step, out)
 
 
 def filler_ratio(t: Column, lex: dict | None = None) -> Column:

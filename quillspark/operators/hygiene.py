@@ -206,6 +206,19 @@ def survival_notes(survived: DataFrame, headline: int = HEADLINE) -> DataFrame:
     return survived.where(F.col("width") == headline).select("pair_id", band.alias("note"), F.when(both & (shift < 0.95), "shorter").when(both & (shift > 1.05), "longer").otherwise("same").alias("length"))
 
 
+def passage_survival(items: DataFrame, docs: DataFrame, width: int = 20) -> DataFrame:
+    """(item_id, doc_id, kept, total, survival): how many of an item's windows a document holds, for pairs that share any.
+
+    Windows of documents are cut down to those of the items by a semi-join before they are counted.
+    """
+    skip = lambda c: F.translate(F.coalesce(c, F.lit("")), " \t\r\n　", "")
+    own = items.select("item_id", F.explode(T.grams(skip("text"), width)).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias("k"))
+    total = own.groupBy("item_id").agg(F.sum("k").alias("total"))
+    theirs = docs.select("doc_id", F.explode(T.grams(skip("text"), width)).alias("g")).join(own.select("g").distinct(), "g", "left_semi").groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    kept = own.join(theirs, "g").groupBy("item_id", "doc_id").agg(F.sum(F.least("k", "n")).alias("kept"))
+    return kept.join(total, "item_id").select("item_id", "doc_id", "kept", "total", F.round(F.col("kept") / F.col("total"), 4).alias("survival"))
+
+
 def green(key: bytes, context: str, c: str, gamma: float = GAMMA) -> bool:
     """A keyed hash of the characters before and the candidate puts it on the green list with probability gamma."""
     return int.from_bytes(blake2b(key + (context + c).encode(), digest_size=8).digest()[:4], "big") < int(gamma * (1 << 32))

@@ -31,6 +31,7 @@ def relations(x: Spark) -> dict[str, str]:
         "sents": x.rows("docs", "doc_id", x.keep(x.map(x.split("text", r"[.!?\n]+"), "trim(x)"), "x <> ''")),
         "slen": f"SELECT doc_id, idx, s, {n('s')} AS n FROM sents",
         "paras": x.rows("docs", "doc_id", x.keep(x.split("text", r"\n"), f"{n('x')} >= 20")),
+        "paras30": x.rows("docs", "doc_id", x.keep(x.split("text", r"\n"), f"{n('x')} >= 30")),
         "hsents": x.rows("fx", "doc_id", x.keep(x.map(x.all("text", "[^。！？\n]*[。！？\n]?"), x.sub("x", r"^\s+|\s+$")), "length(x) > 1")),
         "hparas": x.rows("fx", "doc_id", x.keep(x.split("text", r"\n"), "length(x) > 0")),
         "g1": x.rows("letters", "doc_id", x.chars("h"), "pos, g"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.dialect import Spark
+from quillspark.operators.guards import EMOJI
 
 TRANSITIONS = ("however", "therefore", "moreover", "the", "and", "de", "und", "que")
 
@@ -22,7 +23,7 @@ def entropy(keys: str, source: str) -> str:
 
 def _punct(x: Spark) -> str:
     n = f"nullif({x.count('text', r'\S')}, 0)"
-    return f"SELECT doc_id, coalesce(round(100.0 * {x.count('text', '[,，]')} / {n}, 4), 0) AS comma_density, coalesce(round(100.0 * {x.count('text', r'[,，.。!！?？;；:：]')} / {n}, 4), 0) AS punct_density FROM docs"
+    return f"SELECT doc_id, coalesce(round(100.0 * {x.count('text', '[,，]')} / {n}, 4), 0) AS comma_density, coalesce(round(100.0 * {x.count('text', r'''[，。、；：！？（）「」『』“”‘’"'.,:;!?()\[\]{}《》—…·]''')} / {n}, 4), 0) AS punct_density FROM docs"
 
 
 def _moments(_: Spark) -> str:
@@ -65,6 +66,11 @@ def _signals(x: Spark) -> str:
         round(stddev_pop(p) / nullif(avg(p), 0), 4) AS punct_cv FROM (SELECT doc_id, s, {x.count('s', '[.!?]')} AS k, {x.count('s', '[,.;:!?]')} * 1.0 / length(s) AS p FROM paras) t GROUP BY doc_id HAVING avg(k) > 0"""
 
 
+def _inner(x: Spark) -> str:
+    """Letters of the sentences of long paragraphs, of documents that have three of them."""
+    return f"SELECT u.doc_id, u.idx, {x.count('s', r'\p{L}')} AS n FROM ({x.rows('paras30', 'doc_id, idx', x.split('s', '[.!?]+'), 'j, s')}) u JOIN (SELECT doc_id FROM paras30 GROUP BY doc_id HAVING count(*) >= 3) k ON k.doc_id = u.doc_id"
+
+
 QUERIES = {
     "han_count": lambda x: f"SELECT doc_id, CAST(length(h) AS BIGINT) AS letters, {x.count('h', '[一-鿿]')} AS han_n FROM letters UNION ALL SELECT doc_id + 1000000000, CAST(length(h) AS BIGINT), CAST(length(h) AS BIGINT) FROM han",
     "sentence_split": lambda x: "SELECT doc_id, CAST(idx AS BIGINT) AS sent_idx, s AS sent FROM hsents",
@@ -76,7 +82,7 @@ QUERIES = {
     "mattr": lambda x: f"SELECT doc_id, coalesce(round({x.mean('w')}, 4), 0) AS mattr FROM (SELECT doc_id, {x.windows('a', 100, 50)} AS w FROM (SELECT doc_id, {x.chars('h')} AS a FROM letters) s) t",
     "para_entropy_cv": lambda x: f"SELECT doc_id, CASE WHEN count(*) < 3 OR avg(h) < 1e-9 THEN 0 ELSE round(stddev_pop(h) / avg(h), 4) END AS value FROM ({entropy('doc_id, idx', 'pg2')}) t GROUP BY doc_id",
     "cross_para_trigram": lambda x: "SELECT doc_id, CASE WHEN max(ps) < 3 THEN 0 ELSE round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 4) END AS value FROM (SELECT q.doc_id, g, count(*) AS n, max(k) AS ps FROM (SELECT DISTINCT doc_id, idx, g FROM pg3) q JOIN (SELECT doc_id, count(DISTINCT idx) AS k FROM pg3 GROUP BY doc_id) z ON z.doc_id = q.doc_id GROUP BY q.doc_id, g) t GROUP BY doc_id",
-    "para_sent_cv": lambda x: f"SELECT doc_id, round(avg(cv), 4) AS value FROM (SELECT doc_id, idx, stddev_pop(n) / avg(n) AS cv FROM (SELECT doc_id, idx, {x.count('s', r'\p{L}')} AS n FROM ({x.rows('paras', 'doc_id, idx', x.split('s', '[.!?]+'), 'j, s')}) u) v WHERE n >= 5 GROUP BY doc_id, idx HAVING count(*) >= 3) t GROUP BY doc_id HAVING count(*) >= 2",
+    "para_sent_cv": lambda x: f"SELECT doc_id, round(avg(cv), 4) AS value FROM (SELECT doc_id, idx, stddev_pop(n) / avg(n) AS cv FROM ({_inner(x)}) v WHERE n >= 5 GROUP BY doc_id, idx HAVING count(*) >= 3) t GROUP BY doc_id HAVING count(*) >= 2",
     "ngram_train": lambda x: "SELECT 1 AS n, g AS gram, c AS cnt FROM c1_primary UNION ALL SELECT 2, g, c FROM c2_primary UNION ALL SELECT 3, g, c FROM c3_primary",
     "perplexity": lambda x: "SELECT doc_id, round(avg(lp), 4) AS avg_lp, round(power(2, -avg(lp)), 3) AS ppl FROM t_primary GROUP BY doc_id",
     "unigram_ppl": lambda x: "SELECT doc_id, round(power(2, -avg(log2((c + 0.01) / (total + 0.01 * v)))), 3) AS unigram_ppl FROM (SELECT g1.doc_id, c, (SELECT v FROM v_primary) AS v, (SELECT total FROM v_primary) AS total FROM g1 JOIN c1_primary k ON k.g = g1.g) t GROUP BY doc_id",
@@ -87,6 +93,9 @@ QUERIES = {
     "dual_model_diff": lambda x: "SELECT p.doc_id, round(avg(p.lp - h.lp), 4) AS d_human, round(avg(w.lp - h.lp), 4) AS d_wiki_human, round(avg(p.lp - w.lp), 4) AS d_primary_wiki, round(avg(n.lp - h.lp), 4) AS d_news_human, round(avg(n.lp - w.lp), 4) AS d_news_wiki FROM t_primary p JOIN t_human h ON h.doc_id = p.doc_id AND h.pos = p.pos JOIN t_wiki w ON w.doc_id = p.doc_id AND w.pos = p.pos JOIN t_news n ON n.doc_id = p.doc_id AND n.pos = p.pos GROUP BY p.doc_id",
     "starter_entropy": _starters,
     "calibration_signals": _signals,
-    "emoji_strip": lambda x: f"SELECT doc_id, CAST(length({x.sub('text', r'[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]+')}) AS BIGINT) AS value FROM docs",
+    "emoji_strip": lambda x: f"SELECT doc_id, {x.sub('text', '[' + EMOJI + ']+')} AS body FROM docs",
+    "letter_count": lambda x: "SELECT doc_id, length(h) AS n FROM letters",
+    "para_count": lambda x: "SELECT doc_id, count(*) AS np FROM paras GROUP BY doc_id",
+    "para_sent_n": lambda x: f"SELECT doc_id, count(*) AS psn FROM (SELECT doc_id, idx FROM ({_inner(x)}) v WHERE n >= 5 GROUP BY doc_id, idx HAVING count(*) >= 3) t GROUP BY doc_id",
     "dialogue_density": lambda x: f"SELECT doc_id, coalesce(round(length({x.join(x.all('text', '“[^”]{3,}”|「[^」]{3,}」'))}) * 1.0 / nullif(length(text), 0), 4), 0) AS value FROM fx",
 }

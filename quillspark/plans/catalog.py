@@ -35,8 +35,26 @@ def _query(name: str):
     return run
 
 
-QUERIES = {name: _query(name) for name in BODIES}
+#: names in BODIES that only serve other queries' SQL
+PARTS = ("letter_count", "para_count", "para_sent_n")
+
+
+def _queries() -> dict:
+    from quillspark.plans import tables
+
+    out = {name: _query(name) for name in BODIES if name not in PARTS}
+    return out | tables.REPLACED | {name: f for name, (f, _) in tables.TABLES.items()}
+
+
+QUERIES = _queries()
 
 
 def oracle() -> dict[str, str]:
-    return {name: build(name, DuckDB()) for name in BODIES}
+    from quillspark.plans import tables
+
+    out = {name: build(name, DuckDB()) for name in BODIES if name not in PARTS}
+    for name, (_, sql) in tables.TABLES.items():
+        out.pop(name, None)
+        if sql:
+            out[name] = sql
+    return out
