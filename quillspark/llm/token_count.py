@@ -7,7 +7,8 @@ the place in the vocabulary's trie, the last token before it and the count there
 all of them by one letter and carries the change of the count, a final transition ends the word. States and transitions are
 made when they are first met, then kept.
 
-White space resets the machine, and nothing that the normaliser and the splitting rule do reaches across it. A chunk of text is
+Words of ASCII and Latin-1 letters, nearly all of a text, go through the transducer side by side: one step of all distinct words of
+a batch is one lookup in the table of transitions, and only missing entries are compiled one by one. White space resets the machine, and nothing that the normaliser and the splitting rule do reaches across it. A chunk of text is
 a map (open head, tokens within, open tail) and maps compose associatively, so long texts are cut into chunks whose maps are
 combined in a tree (prefix-scan order), with the same result as one pass. Tokenizers for which any of this doesn't hold are refused.
 """
@@ -18,13 +19,15 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.util import table
+from quillspark.llm.util import chunks, segment_hashes, table
 
-CHUNK, MEMO, STATES = 1 << 16, 150_000, 150_000
+CHUNK, MEMO, STATES, BATCH = 1 << 16, 100_000, 150_000, 1 << 20
+LONGEST = 64  # bytes of a word that is stepped with others
 _SPACE = "\t\n\x0b\x0c\r "
 _SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split() also cuts at these, which the tokenizer keeps within a piece
 # fixed values: the parts of a tokenizer that the compiled class is made for
@@ -34,6 +37,12 @@ _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _OPTIONS = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 
+_LETTER = np.array([97 <= b <= 122 or b == 0xC3 or 0x80 <= b <= 0xBF for b in range(256)])  # within the words that are stepped together
+_CLASS = np.cumsum(_LETTER) - 1
+_WIDTH = int(_LETTER.sum())
+_BYTES = np.flatnonzero(_LETTER)
+
+
 def _letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -101,6 +110,14 @@ class Transducer:
         self.state = [((0, None, 0),)]
         self.moves: list[dict] = [{"": 0}]
         self.ends: list[dict[str, int]] = [{}]
+        self._grow(1 << 12)
+
+    def _grow(self, rows: int) -> None:
+        """Tables of the next state, the change of the count, and the tokens that end a word, by state and letter; -1 where not compiled yet."""
+        old = (self.next, self.change, self.last_tokens) if rows > 1 << 12 else None
+        self.next, self.change, self.last_tokens = np.full((rows, _WIDTH), -1, np.int32), np.zeros((rows, _WIDTH), np.int8), np.full((rows, _WIDTH), -1, np.int8)
+        for new, kept in zip((self.next, self.change, self.last_tokens), old or (), strict=False):
+            new[: len(kept)] = kept
 
     def _derived(self, token: str) -> tuple | None:
         """The outermost parts of a token while it is merged, on its left and on its right: (part, rank that uses it up). None if merging makes no such token."""
@@ -171,6 +188,90 @@ class Transducer:
         s = moves[""]
         return n + (self.ends[s].get(word[-1]) or self._finish(s, word[-1]))
 
+    def _compiled_for(self, s: np.ndarray, c: np.ndarray, end: bool) -> None:
+        """Fill the tables' missing entries at these states and letter classes."""
+        for key in np.unique(s.astype(np.int64) * _WIDTH + c).tolist():
+            state, k = divmod(key, _WIDTH)
+            letter = self.letter[int(_BYTES[k])]
+            if end:
+                self.last_tokens[state, k] = self._finish(state, letter)
+                continue
+            moves, change = self._move(state, letter)
+            if moves[""] >= len(self.next):
+                self._grow(2 * len(self.next))
+            self.next[state, k], self.change[state, k] = moves[""], change
+
+    def stepped(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of the words data[start : start + size], all stepped together."""
+        if len(self.state) > self.most_states:
+            self._reset()
+        order = np.argsort(-size, kind="stable")
+        at, left = start[order], size[order]
+        s, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for t in range(int(left[0]) - 1 if len(left) else 0):
+            k = int(np.searchsorted(-left, -(t + 1), side="left"))  # words of more than t + 1 letters
+            c, now = _CLASS[data[at[:k] + t]], s[:k]
+            new = self.next[now, c]
+            if (miss := new < 0).any():
+                self._compiled_for(now[miss], c[miss], False)
+                new = self.next[now, c]
+            n[:k] += self.change[now, c]
+            s[:k] = new
+        c = _CLASS[data[at + left - 1]]
+        last = self.last_tokens[s, c]
+        if (miss := last < 0).any():
+            self._compiled_for(s[miss], c[miss], True)
+            last = self.last_tokens[s, c]
+        out = np.empty(len(n), np.int64)
+        out[order] = n + last
+        return out
+
+    def plain(self, texts: list[str]) -> np.ndarray:
+        """Tokens of texts cut at white space. Pieces with an apostrophe, a special string or any character beyond Latin-1 letters go one by one."""
+        joined = "\n".join(texts).encode() + b"\n"
+        data = np.frombuffer(joined, dtype=np.uint8)
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
+        data = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
+        after = np.concatenate([np.zeros(1, bool), data[:-1] == 0xC3])
+        data = data + np.where(after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), 0x20, 0).astype(np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        bad = (data == 39) | (data == 60) | (data < 9) | ((data > 13) & (data < 32)) | (data == 127) | ((data >= 0x80) & (data != 0xC3) & ~after) | (after & ((data == 0x97) | (data == 0xB7) | (data < 0x80)))
+        letter = _LETTER[data] & ~space
+        n = np.zeros(len(texts), np.int64)
+        # pieces between white space that hold something bad
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+        first, stop = edge[0::2], edge[1::2]
+        total = np.concatenate([[0], np.cumsum(bad)])
+        odd = total[stop] > total[first]
+        for a, b in zip(first[odd].tolist(), stop[odd].tolist(), strict=True):
+            n[np.searchsorted(ends, a, side="right")] += self.pieces(joined[a:b].decode())
+        fine = np.zeros(len(data) + 1, np.int8)
+        np.add.at(fine, first[~odd], 1)
+        np.add.at(fine, stop[~odd], -1)
+        fine = np.cumsum(fine)[:-1].astype(bool)
+        letter &= fine
+        digit = fine & (data >= 48) & (data <= 57)
+        mark = fine & ~letter & ~digit
+        where = lambda at: np.searchsorted(ends, at, side="right")
+        n += np.bincount(where(np.flatnonzero(digit)), minlength=len(texts))[: len(texts)] * self.word("0")
+        a, b = _runs(mark)
+        one = b - a == 1
+        marks = np.zeros(256, np.int64)
+        for x in np.unique(data[a[one]]).tolist():
+            marks[x] = self.word(self.letter[x])
+        n += np.bincount(where(a[one]), marks[data[a[one]]], minlength=len(texts)).astype(np.int64)[: len(texts)]
+        for x, y in zip(a[~one].tolist(), b[~one].tolist(), strict=True):
+            n[where(x)] += self.piece(joined[x:y].decode())
+        a, b = _runs(letter)
+        long = b - a > LONGEST
+        for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True):
+            n[where(x)] += self.pieces(joined[x:y].decode())
+        a, b = a[~long], b[~long]
+        if len(a):
+            _, some, inverse = np.unique(segment_hashes(data, a, b), return_index=True, return_inverse=True)
+            n += np.bincount(where(a), self.stepped(data, a[some], b[some] - a[some])[inverse], minlength=len(texts)).astype(np.int64)[: len(texts)]
+        return n
+
     def piece(self, piece: str) -> int:
         """Tokens of a piece without white space."""
         if piece in self.words:
@@ -204,13 +305,13 @@ class Transducer:
             n += piece(p) if k is None else k
         return n
 
-    def chunk(self, text: str) -> tuple[str, int, str | None]:
-        """(head, tokens, tail): tail is None if the chunk has no white space, and then head is the whole chunk."""
+    def chunk(self, text: str) -> tuple[str, str, str | None]:
+        """(head, body, tail): body begins and ends with white space; tail is None if the chunk has none, and then head is the whole chunk."""
         first = next((i for i, c in enumerate(text) if c in _SPACE), -1)
         if first < 0:
-            return text, 0, None
+            return text, "", None
         last = next(i for i in range(len(text) - 1, -1, -1) if text[i] in _SPACE)
-        return text[:first], self.pieces(text[first:last]), text[last + 1 :]
+        return text[:first], text[first:last], text[last + 1 :]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         if a[2] is None:
@@ -219,14 +320,32 @@ class Transducer:
             return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self.pieces(a[2] + b[0]) + b[1], b[2]
 
+    def counts(self, texts: list[str], size: int = CHUNK) -> list[int]:
+        """Tokens of each text; long ones by the maps of their chunks."""
+        out = [0] * len(texts)
+        raw = [t.encode() for t in texts]
+        for a, b in chunks(raw, BATCH):
+            parts = [(i, *(("", texts[i], "") if len(texts[i]) <= size else self.chunk(texts[i][j : j + size]))) for i in range(a, b) for j in range(0, max(len(texts[i]), 1), size if len(texts[i]) > size else max(len(texts[i]), 1))]
+            for p in range(0, len(parts), 1024):
+                some = parts[p : p + 1024]
+                parts[p : p + 1024] = [(i, head, int(n), tail) for (i, head, _, tail), n in zip(some, self.plain([x[2] for x in some]), strict=True)]
+            maps: dict[int, list[tuple]] = {}
+            for i, *m in parts:
+                maps.setdefault(i, []).append(tuple(m))
+            for i, m in maps.items():
+                while len(m) > 1:
+                    m = [self.compose(*m[k : k + 2]) if k + 1 < len(m) else m[k] for k in range(0, len(m), 2)]
+                head, n, tail = m[0]
+                out[i] = n + self.pieces(head) + (self.pieces(tail) if tail else 0)
+        return out
+
     def count(self, text: str, size: int = CHUNK) -> int:
-        if len(text) <= size:
-            return self.pieces(text)
-        maps = [self.chunk(text[i : i + size]) for i in range(0, len(text), size)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return n + self.pieces(head) + (self.pieces(tail) if tail is not None else 0)
+        return self.counts([text], size)[0]
+
+
+def _runs(yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(yes.view(np.int8), prepend=0, append=0))
+    return edge[0::2], edge[1::2]
 
 
 _compiled: dict[int, Transducer] = {}
@@ -254,7 +373,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(source.value)
         for batch in it:
-            n = [t.count(x) for x in batch.column(2).to_pylist()]
+            n = t.counts(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
