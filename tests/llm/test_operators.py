@@ -127,6 +127,55 @@ def test_passages_of_a_pair_within_common_words(spark):
     assert all((r.first_word, r.last_word) == (r.other_first_word, r.other_last_word) == (60, 114) for r in out)
 
 
+def test_compact_windows_are_cartesian_nodes():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n)).encode() for n in (300, 20, 120, 60)]
+    least = 20
+    got = set()
+    for doc, key, k, c, a, b in zip(*passages.compact_windows(texts, least, 2), strict=True):
+        got.add((int(doc), int(k), int(c), int(a), int(b)))
+    want = set()
+    for doc, text in enumerate(texts):
+        h = passages.shingles([text])[0]
+        for k in range(2):
+            v = passages.mix(h ^ np.uint64((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(24)
+            todo = [(0, len(h) - 1)]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo + 1 >= least:
+                    c = lo + int(np.argmin(v[lo : hi + 1]))
+                    want.add((doc, k, c, lo, hi))
+                    todo += [(lo, c - 1), (c + 1, hi)]
+    assert got == want
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 80 words with a few words changed, against all pairs of texts compared by their best windows."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(20_000)]
+    rows, twins = [], []
+    for i in range(0, 160, 2):
+        passage = [rng.choice(words) for _ in range(80)]
+        other = list(passage)
+        for at in rng.sample(range(80), rng.choice((1, 1, 2))):
+            other[at] = rng.choice(words)
+        for j, part in ((i, passage), (i + 1, other)):
+            rows.append((j, " ".join([rng.choice(words) for _ in range(rng.randrange(150))] + part + [rng.choice(words) for _ in range(rng.randrange(150))]), "s"))
+        a, b = ({tuple(x[k : k + 5]) for k in range(76)} for x in (passage, other))
+        if len(a & b) / len(a | b) >= 0.8:
+            twins.append((i, i + 1))
+    found = {frozenset((r.doc_id, r.other_id)) for r in passages.passages(docs_of(spark, rows)).collect()}
+    assert len(twins) > 40
+    assert sum(frozenset(t) in found for t in twins) >= 0.95 * len(twins)
+    assert all(max(f) - min(f) == 1 and min(f) % 2 == 0 for f in found)
+
+
+def test_all_places_of_a_passage():
+    x = np.arange(60, dtype=np.uint64)
+    y = np.concatenate([x, np.arange(1000, 1100, dtype=np.uint64), x])
+    assert [r[:4] for r in passages.verify(x, y, 46, 0.8)] == [(0, 59, 0, 59), (0, 59, 160, 219)]
+
+
 def test_mixing_stays_within_one_block(spark):
     rows = [(i, "t", "abc"[0 if i < 500 else 1 + (i < 650)]) for i in range(800)]
     weights = {"a": 5, "b": 3, "c": 2}
