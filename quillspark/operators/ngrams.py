@@ -83,10 +83,13 @@ def log_probs(grams: DataFrame, model: DataFrame, alias: str = "lp") -> DataFram
     return out.withColumn(alias, F.log2(p)).drop("ab", "bc", "b", "c3", "cab", "cbc", "cb")
 
 
-def scored(docs: DataFrame, models: dict[str, DataFrame], alphabet: str = "letters") -> DataFrame:
-    """(doc_id, g, n, lp_<model>): each document's distinct trigrams with their log probabilities."""
+def scored(docs: DataFrame, models: dict[str, DataFrame], alphabet: str = "letters", own: bool = False) -> DataFrame:
+    """(doc_id, g, n, lp_<model>): each document's distinct trigrams with their log probabilities.
+
+    own: the primary model was trained on these documents, so its trigrams are all there are.
+    """
     bag = bags(docs, 3, alphabet)
-    grams = bag.select("g").distinct() if len(models) != 1 or next(iter(models)) != "primary" else table(models["primary"], 3).select("g")
+    grams = table(models["primary"], 3).select("g") if own else bag.select("g").distinct()
     for name, model in models.items():
         grams = log_probs(grams, model, f"lp_{name}")
     return bag.join(written(grams, "grams"), "g")
@@ -96,24 +99,24 @@ def _avg(c: Column) -> Column:
     return F.sum(F.col("n") * c) / F.sum("n")
 
 
-def perplexity(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame, alphabet: str = "letters", own: bool = False) -> DataFrame:
     """(doc_id, avg_lp, ppl) of documents of three characters or more."""
-    s = scored(docs, {"primary": model}, alphabet).groupBy("doc_id").agg(_avg(F.col("lp_primary")).alias("m"))
+    s = scored(docs, {"primary": model}, alphabet, own).groupBy("doc_id").agg(_avg(F.col("lp_primary")).alias("m"))
     return s.select("doc_id", F.round("m", 4).alias("avg_lp"), F.round(F.pow(F.lit(2.0), -F.col("m")), 3).alias("ppl"))
 
 
-def unigram_perplexity(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> DataFrame:
+def unigram_perplexity(docs: DataFrame, model: DataFrame, alphabet: str = "letters", own: bool = False) -> DataFrame:
     """(doc_id, unigram_ppl, ratio): ratio to the perplexity, 0 where there is none."""
     v, total = kinds(model)
     one = bags(docs, 1, alphabet).join(table(model, 1), "g", "left").groupBy("doc_id").agg(_avg(F.log2((F.coalesce("c", F.lit(0)) + K) / (total + K * v))).alias("m"))
-    three = scored(docs, {"primary": model}, alphabet).groupBy("doc_id").agg(_avg(F.col("lp_primary")).alias("t"))
+    three = scored(docs, {"primary": model}, alphabet, own).groupBy("doc_id").agg(_avg(F.col("lp_primary")).alias("t"))
     ratio = F.pow(F.lit(2.0), F.col("t") - F.col("m"))
     return one.join(three, "doc_id", "left").select("doc_id", F.round(F.pow(F.lit(2.0), -F.col("m")), 3).alias("unigram_ppl"), F.round(F.coalesce(ratio, F.lit(0.0)), 4).alias("ratio"))
 
 
-def moments(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> DataFrame:
+def moments(docs: DataFrame, model: DataFrame, alphabet: str = "letters", own: bool = False) -> DataFrame:
     """(doc_id, n, skew, kurt) of the log probabilities; zeros under 16 positions or without variance."""
-    s = scored(docs, {"primary": model}, alphabet)
+    s = scored(docs, {"primary": model}, alphabet, own)
     # powers about a fixed point near the usual mean, so that sums of powers lose no digits
     x = F.col("lp_primary") + 5
     sums = s.groupBy("doc_id").agg(F.sum("n").alias("n"), *[_avg(F.pow(x, F.lit(k))).alias(f"a{k}") for k in (1, 2, 3, 4)])
@@ -124,9 +127,9 @@ def moments(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> Dat
     return sums.select("doc_id", "n", zero(m3 / F.pow(m2, F.lit(1.5))).alias("skew"), zero(m4 / (m2 * m2) - 3).alias("kurt"))
 
 
-def model_differences(docs: DataFrame, models: dict[str, DataFrame], alphabet: str = "letters") -> DataFrame:
+def model_differences(docs: DataFrame, models: dict[str, DataFrame], alphabet: str = "letters", own: bool = False) -> DataFrame:
     """(doc_id, d_human, d_wiki_human, d_primary_wiki, d_news_human, d_news_wiki): means of differences of log probabilities."""
-    s = scored(docs, models, alphabet).groupBy("doc_id").agg(*[_avg(F.col(f"lp_{n}")).alias(n) for n in NAMES])
+    s = scored(docs, models, alphabet, own).groupBy("doc_id").agg(*[_avg(F.col(f"lp_{n}")).alias(n) for n in NAMES])
     pairs = {"d_human": ("primary", "human"), "d_wiki_human": ("wiki", "human"), "d_primary_wiki": ("primary", "wiki"), "d_news_human": ("news", "human"), "d_news_wiki": ("news", "wiki")}
     return s.select("doc_id", *[F.round(F.col(a) - F.col(b), 4).alias(k) for k, (a, b) in pairs.items()])
 
@@ -199,9 +202,9 @@ def series_features(x: np.ndarray) -> tuple:
     return n, *lags, flat, float(ppl.std() / ppl.mean()) if len(ppl) >= 3 else 0.0, len(ppl)
 
 
-def series(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> DataFrame:
+def series(docs: DataFrame, model: DataFrame, alphabet: str = "letters", own: bool = False) -> DataFrame:
     """(doc_id, SERIES) of documents of three characters or more: what depends on the order of log probabilities."""
-    s = scored(docs, {"primary": model}, alphabet).groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list("lp_primary").alias("lp"))
+    s = scored(docs, {"primary": model}, alphabet, own).groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list("lp_primary").alias("lp"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -215,7 +218,7 @@ def series(docs: DataFrame, model: DataFrame, alphabet: str = "letters") -> Data
     return letters(docs, alphabet).join(s, "doc_id").select("doc_id", "h", "g", "lp").mapInArrow(run, kind)
 
 
-def curvature(docs: DataFrame, model: DataFrame, alphabet: str = "letters", positions: int = 50, others: int = 10, seed: int = 42) -> DataFrame:
+def curvature(docs: DataFrame, model: DataFrame, alphabet: str = "letters", positions: int = 50, others: int = 10, seed: int = 42, own: bool = False) -> DataFrame:
     """(doc_id, value): mean of a character's log probability less that of the most frequent other ones, at up to `positions` places that depend on the length only; 0 under 30 characters.
 
     The model's counts for the alternatives are collected: at most the (others + 1) most frequent characters after any pair, so
@@ -230,7 +233,7 @@ def curvature(docs: DataFrame, model: DataFrame, alphabet: str = "letters", posi
     tops = F.right("g", F.lit(1)).isin(top)
     threes = small(3, tops)
     held = docs.sparkSession.sparkContext.broadcast((top, ones, twos, threes, v))
-    actual = scored(docs, {"primary": model}, alphabet).groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list("lp_primary").alias("lp"))
+    actual = scored(docs, {"primary": model}, alphabet, own).groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list("lp_primary").alias("lp"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, ones, twos, threes, v = held.value

@@ -161,3 +161,141 @@ def effect_sizes(scores: DataFrame) -> DataFrame:
     pooled = F.sqrt(F.sum((F.col("n") - 1) * F.col("v")) / F.nullif(F.sum("n") - 2, F.lit(0)))
     some = lambda c: F.when(c > 0, c)
     return s.agg(F.round(gap / some(pop), 4).alias("d_pop"), F.round(gap / some(pooled), 4).alias("d_pooled"), F.round(-gap / some(pooled), 4).alias("d_human_minus_ai"))
+
+
+BINS = 100  # per unit of a score
+
+
+def _cumulated(scores: DataFrame, by: list[str], counts: dict[str, Column]) -> DataFrame:
+    """(by, score, counts, before_<count>): for each distinct score, sums over the rows of the group and of lower scores.
+
+    Sums below go by bins of a hundredth, so that no task sorts a whole group.
+    """
+    s = scores.groupBy(*by, "score").agg(*[c.alias(k) for k, c in counts.items()]).withColumn("bin", F.floor(F.col("score") * BINS))
+    keys = by or [F.lit(0)]
+    bins = s.groupBy(*by, "bin").agg(*[F.sum(k).alias(f"all_{k}") for k in counts])
+    below = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "bin", *[F.coalesce(F.sum(f"all_{k}").over(below), F.lit(0)).alias(f"below_{k}") for k in counts])
+    inside = Window.partitionBy(*by, "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select(*by, "bin", "score", *counts, *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"inside_{k}") for k in counts])
+    s = s.join(bins, [*by, "bin"])
+    return s.select(*by, "score", *counts, *[(F.col(f"below_{k}") + F.col(f"inside_{k}")).alias(f"before_{k}") for k in counts])
+
+
+def auc(scores: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, n_pos, n_neg, auc) of scores (by, y 0/1, score): the chance that a row of class 1 scores higher, ties half; null without both classes."""
+    by = list(by)
+    c = _cumulated(scores, by, {f"n{y}": F.sum(F.when(F.col("y") == y, 1).otherwise(0)) for y in (0, 1)})
+    won = F.sum(F.col("n1") * (F.col("before_n0") + F.col("n0") / 2))
+    n0, n1 = F.sum("n0"), F.sum("n1")
+    return c.groupBy(*by).agg(n1.alias("n_pos"), n0.alias("n_neg"), F.round(won / F.nullif(n0.cast("double") * n1, F.lit(0.0)), 6).alias("auc"))
+
+
+def medians(scores: DataFrame, by: list[str], upper: bool = False) -> DataFrame:
+    """(by, median) of scores (by, score): the mean of the two middle ones, or with upper the higher of them."""
+    c = _cumulated(scores, by, {"n": F.count("*")}).withColumn("upto", F.col("before_n") + F.col("n"))
+    total = c.groupBy(*by).agg(F.sum("n").alias("total"))
+    c = c.join(total, by)
+    at = lambda r: F.min(F.when(F.col("upto") >= r, F.col("score")))
+    high = at(F.floor(F.col("total") / 2) + 1)
+    return c.groupBy(*by).agg((high if upper else (at(F.ceil(F.col("total") / 2)) + high) / 2).alias("median"))
+
+
+VERDICTS = ((0.9, "strong"), (0.75, "useful"), (0.65, "weak"))  # fixed values
+LEAST_SIDE = 15
+
+
+def verdict(a: Column) -> Column:
+    out = F.lit("none")
+    for least, name in reversed(VERDICTS):
+        out = F.when(a >= least, name).otherwise(out)
+    return F.when(a.isNotNull(), out)
+
+
+def scene_report(scores: DataFrame) -> DataFrame:
+    """(scene, n_pos, n_neg, mean_pos, mean_neg, auc_raw, lo, hi, m_pos, m_neg, auc_matched, verdict) of scores (scene, y, score, chars): separation of the classes, raw and among rows whose length lies in the overlap of both classes' ranges (null with fewer than LEAST_SIDE rows on a side)."""
+    one = lambda y, c: F.when(F.col("y") == y, F.col(c))
+    s = scores.groupBy("scene").agg(
+        F.round(F.avg(one(1, "score")), 4).alias("mean_pos"), F.round(F.avg(one(0, "score")), 4).alias("mean_neg"),
+        F.greatest(F.min(one(0, "chars")), F.min(one(1, "chars"))).alias("lo"), F.least(F.max(one(0, "chars")), F.max(one(1, "chars"))).alias("hi"),
+    )
+    raw = auc(scores, ["scene"]).withColumnRenamed("auc", "auc_raw")
+    inside = scores.join(s.select("scene", "lo", "hi"), "scene").where(F.col("chars").between(F.col("lo"), F.col("hi")))
+    m = auc(inside.select("scene", "y", "score"), ["scene"]).select("scene", F.col("n_pos").alias("m_pos"), F.col("n_neg").alias("m_neg"), F.when(F.least("n_pos", "n_neg") >= LEAST_SIDE, F.col("auc")).alias("auc_matched"))
+    out = s.join(raw, "scene").join(m, "scene", "left").withColumn("verdict", verdict(F.coalesce("auc_matched", "auc_raw")))
+    return out.select("scene", "n_pos", "n_neg", "mean_pos", "mean_neg", "auc_raw", "lo", "hi", F.coalesce("m_pos", F.lit(0)).alias("m_pos"), F.coalesce("m_neg", F.lit(0)).alias("m_neg"), "auc_matched", "verdict")
+
+
+def margins(scores: DataFrame) -> DataFrame:
+    """(scene, model, gid, n, mean, low, high, low_share, very_high_share) of scores (scene, model, score): every combination, both margins and the total (gid as in grouping_id)."""
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    return scores.cube("scene", "model").agg(F.grouping_id().cast("int").alias("gid"), F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"), share(F.col("score") < 25).alias("low_share"), share(F.col("score") >= 75).alias("very_high_share"))
+
+
+def layer_report(scores: DataFrame, layers: list[str]) -> DataFrame:
+    """(layer, n, mean, median, low, high, auc) of scores (y, layers): each score column over all rows, and how well it separates the classes."""
+    long = scores.select("y", F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).cast("double").alias("score")) for x in layers])).alias("z")).select("y", "z.*")
+    s = long.groupBy("layer").agg(F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"))
+    return s.join(medians(long, ["layer"]).withColumn("median", F.round("median", 4)), "layer").join(auc(long, ["layer"]).select("layer", "auc"), "layer")
+
+
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """(source, n, correct_rate, gap, delta_avg, delta_median, delta_min, delta_max, preserved, length_ratio, improved) of pairs (source, human, model, after, paragraphs_before, paragraphs_after, chars_before, chars_after), by source and, under a null source, over all.
+
+    correct: the human side scores strictly lower. delta: model less after; the median is the upper one. preserved: as many paragraphs or more.
+    """
+    d = pairs.withColumns({"delta": F.col("model") - F.col("after")})
+    rows = d.union(d.withColumn("source", F.lit(None).cast("string")))
+    key = F.coalesce("source", F.lit("\x00"))
+    rows = rows.withColumn("k", key)
+    yes = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    s = rows.groupBy("k").agg(
+        F.first("source").alias("source"), F.count("*").alias("n"), yes(F.col("human") < F.col("model")).alias("correct_rate"), F.round(F.avg(F.col("model") - F.col("human")), 4).alias("gap"), F.round(F.avg("delta"), 4).alias("delta_avg"),
+        F.round(F.min("delta"), 4).alias("delta_min"), F.round(F.max("delta"), 4).alias("delta_max"), yes(F.col("paragraphs_after") >= F.col("paragraphs_before")).alias("preserved"), F.round(F.avg(F.col("chars_after") / F.nullif("chars_before", F.lit(0))), 4).alias("length_ratio"), F.sum(F.when(F.col("delta") > 0, 1).otherwise(0)).alias("improved"),
+    )
+    m = medians(rows.select("k", F.col("delta").alias("score")), ["k"], upper=True)
+    return s.join(m, "k").select("source", "n", "correct_rate", "gap", "delta_avg", F.round("median", 4).alias("delta_median"), "delta_min", "delta_max", "preserved", "length_ratio", "improved")
+
+
+def longform_report(rows: DataFrame) -> DataFrame:
+    """(genre, model, n, before, after, delta, preserved, defects) of rows (genre, model, before, after, preserved 0/1, defects): by genre, by model and over all."""
+    g = rows.groupingSets([["genre"], ["model"], []], "genre", "model")
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("before"), 4).alias("before"), F.round(F.avg("after"), 4).alias("after"), F.round(F.avg(F.col("before") - F.col("after")), 4).alias("delta"), F.round(F.avg("preserved"), 4).alias("preserved"), F.sum("defects").alias("defects"))
+
+
+def ranked(rows: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
+    """rows with rn, the place within their group by the MD5 of key, then key.
+
+    Places are counted within 4,096 hash ranges and added up, so that a group of any size spreads over tasks.
+    """
+    r = rows.withColumn("md5_", F.md5(F.col(key).cast("string"))).withColumn("bin_", F.left("md5_", F.lit(3)))
+    n = r.groupBy(*by, "bin_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.withColumn("at_", F.row_number().over(Window.partitionBy(*by, "bin_").orderBy("md5_", key))).join(n.select(*by, "bin_", before.alias("before_")), [*by, "bin_"])
+    return r.withColumn("rn", F.col("before_") + F.col("at_")).drop("md5_", "bin_", "before_", "at_", "n_")
+
+
+def balanced(rows: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
+    """As many rows of each group as the smallest has, by hash of key."""
+    least = rows.groupBy(by).count().agg(F.min("count").alias("least_"))
+    return ranked(rows, [by], key).join(F.broadcast(least)).where(F.col("rn") <= F.col("least_")).drop("rn", "least_")
+
+
+def split(rows: DataFrame, by: str, share: int = 5, key: str = "doc_id") -> DataFrame:
+    """rows with holdout: of each group the first 1 / share by hash of key."""
+    n = rows.groupBy(by).agg(F.count("*").alias("all_"))
+    return ranked(rows, [by], key).join(n, by).withColumn("holdout", F.col("rn") * share <= F.col("all_")).drop("rn", "all_")
+
+
+def controls(rows: DataFrame, scene: str, genres: list[str], least: int, most: int, n: int, provenance: list[str] | None = None) -> DataFrame:
+    """(id, scene, genre, text, chars, provenance): of rows (id, genre, text, provenance) with those genres, provenances and a length in the band, n of each genre by hash of id."""
+    r = rows.withColumn("chars", F.length("text")).where(F.col("genre").isin(genres) & F.col("chars").between(least, most))
+    r = r if provenance is None else r.where(F.col("provenance").isin(provenance))
+    return ranked(r, ["genre"], "id").where(F.col("rn") <= n).select("id", F.lit(scene).alias("scene"), "genre", "text", "chars", "provenance")
+
+
+def first_of_equal(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, kept): the least id among documents of the same text, but for case and outer spaces; hashes are shuffled, no texts."""
+    h = docs.select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("sha"))
+    first = h.groupBy("sha").agg(F.min("doc_id").alias("keep_id"))
+    return h.join(first, "sha").select("doc_id", "keep_id", (F.col("doc_id") == F.col("keep_id")).alias("kept"))

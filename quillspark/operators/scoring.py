@@ -80,15 +80,15 @@ def starter_entropy(docs: DataFrame, alphabet: str = "letters") -> DataFrame:
     return d.select("doc_id", F.when(F.size("a") < 5, 0.0).otherwise(F.log2(F.size("a")) - T.counted(F.col("a"))["e"] / F.size("a")).alias("starter_entropy"))
 
 
-def analyzed(docs: DataFrame, models: dict[str, DataFrame], lex: dict | None = None, alphabet: str = "letters") -> DataFrame:
+def analyzed(docs: DataFrame, models: dict[str, DataFrame], lex: dict | None = None, alphabet: str = "letters", own: bool = False) -> DataFrame:
     """A row for each document with everything the vector and the indicators need; all zero under LEAST characters.
 
-    models: by the names of ngrams.NAMES; `primary` is needed, features of missing ones are 0. The documents are dealt by
+    models: by the names of ngrams.NAMES; `primary` is needed, features of missing ones are 0; own: it was trained on these documents. The documents are dealt by
     doc_id, and the parts are joined on it.
     """
     lex = lex or lexicons.load()
     keys = [n for n in ngrams.NAMES if n in models]
-    s = ngrams.scored(docs, {n: models[n] for n in keys}, alphabet)
+    s = ngrams.scored(docs, {n: models[n] for n in keys}, alphabet, own)
     x = F.col("lp_primary") + 5
     weighted = lambda c: F.sum(F.col("n") * c) / F.sum("n")
     s = s.groupBy("doc_id").agg(*[weighted(F.col(f"lp_{n}")).alias(f"m_{n}") for n in keys], *[weighted(F.pow(x, F.lit(k))).alias(f"a{k}") for k in (1, 2, 3, 4)], F.collect_list("g").alias("g"), F.collect_list("lp_primary").alias("lp"))
@@ -114,7 +114,7 @@ def analyzed(docs: DataFrame, models: dict[str, DataFrame], lex: dict | None = N
     parts = [
         s.drop("g", "lp").withColumns({"skew": skew, "kurt": kurt, "flat": m2 < 1e-9}), order.withColumnRenamed("n", "positions"), one, ranks, ngrams.paragraph_entropy_spread(docs, alphabet).withColumnRenamed("value", "entropy_cv"),
         ngrams.cross_paragraph_repeats(docs, alphabet).withColumnRenamed("value", "cross_p3"), sentence_lengths(docs, alphabet).withColumnsRenamed({"n": "n_sentences", "cv": "sent_cv"}),
-        paragraph_spreads(docs, alphabet), ngrams.curvature(docs, models["primary"], alphabet).withColumnRenamed("value", "curv"),
+        paragraph_spreads(docs, alphabet), ngrams.curvature(docs, models["primary"], alphabet, own=own).withColumnRenamed("value", "curv"),
     ]
     entropies = ngrams.parts(docs, "\n\\s*\n|\n", 20, alphabet).groupBy("doc_id").agg(F.count("*").alias("n_paras"))
     out = densities(docs, lex, alphabet).join(ngrams.letters(docs, alphabet).select("doc_id", mattr(F.col("h")).alias("char_mattr")), "doc_id").join(starter_entropy(docs, alphabet), "doc_id")

@@ -333,3 +333,51 @@ def kinds() -> str:
     rules = (("tag_char", inside(hygiene.TAGS)), ("noncharacter", "(cp BETWEEN 64976 AND 65007 OR cp % 65536 >= 65534)"), ("reserved", inside(hygiene.RESERVED)), ("private_use", inside(hygiene.PRIVATE)), ("variation", inside(hygiene.SELECTORS + hygiene.MONGOLIAN)), ("bidi", inside(hygiene.BIDI)), ("zero_width", inside(hygiene.ZERO_WIDTH)), ("format", inside(hygiene.OTHER)), ("space", inside(hygiene.SPACES)), ("lookalike", f"cp IN ({table})"))
     case = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in rules) + " END"
     return f"WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT -doc_id, text FROM {rows(list(fx.HYGIENE), 'doc_id, text')}), q AS (SELECT doc_id, unicode(unnest(string_split(t, ''))) AS cp FROM texts WHERE t <> '') SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, {case} AS kind FROM q) WHERE kind IS NOT NULL GROUP BY doc_id, kind"
+
+
+SCORED = "scored AS (SELECT d.doc_id, lang, source, quality AS y, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, coalesce(text, '') AS text, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE 100.0::DOUBLE * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text) END AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NOT NULL)"
+CUT = "regexp_replace(text, '[0-9]+(?:[.,][0-9]+)*%?|[.] ', ' ', 'g')"
+
+
+def _auc(source: str, by: str) -> str:
+    """All pairs of both classes, counted."""
+    return f"SELECT p.{by}, round(avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END), 6) AS auc FROM {source} p JOIN {source} q ON q.{by} = p.{by} WHERE p.y = 1 AND q.y = 0 GROUP BY p.{by}"
+
+
+def scene_report() -> str:
+    return f"""WITH {SCORED}, s AS (SELECT lang, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, round(avg(score) FILTER (y = 1), 4) AS mean_pos, round(avg(score) FILTER (y = 0), 4) AS mean_neg,
+      greatest(min(chars) FILTER (y = 0), min(chars) FILTER (y = 1)) AS lo, least(max(chars) FILTER (y = 0), max(chars) FILTER (y = 1)) AS hi FROM scored GROUP BY lang),
+    inside AS (SELECT scored.* FROM scored JOIN s USING (lang) WHERE chars BETWEEN lo AND hi), k AS (SELECT lang, count(*) FILTER (y = 1) AS m_pos, count(*) FILTER (y = 0) AS m_neg FROM inside GROUP BY lang),
+    x AS (SELECT s.*, a.auc AS auc_raw, coalesce(m_pos, 0) AS m_pos, coalesce(m_neg, 0) AS m_neg, CASE WHEN least(m_pos, m_neg) >= 15 THEN b.auc END AS auc_matched FROM s LEFT JOIN ({_auc('scored', 'lang')}) a USING (lang) LEFT JOIN k USING (lang) LEFT JOIN ({_auc('inside', 'lang')}) b USING (lang))
+    SELECT lang AS scene, n_pos, n_neg, mean_pos, mean_neg, auc_raw, lo, hi, m_pos, m_neg, auc_matched, CASE WHEN coalesce(auc_matched, auc_raw) >= 0.9 THEN 'strong' WHEN coalesce(auc_matched, auc_raw) >= 0.75 THEN 'useful' WHEN coalesce(auc_matched, auc_raw) >= 0.65 THEN 'weak' WHEN coalesce(auc_matched, auc_raw) IS NOT NULL THEN 'none' END AS verdict FROM x"""
+
+
+def margins() -> str:
+    cols = "count(*) AS n, round(avg(score), 4) AS mean, round(min(score), 4) AS low, round(max(score), 4) AS high, round(avg(CASE WHEN score < 25 THEN 1.0 ELSE 0.0 END), 4) AS low_share, round(avg(CASE WHEN score >= 75 THEN 1.0 ELSE 0.0 END), 4) AS very_high_share"
+    parts = [f"SELECT {a} AS scene, {b} AS model, {g} AS gid, {cols} FROM scored{' GROUP BY ' + ', '.join(x for x in (a, b) if x in ('lang', 'source')) if 'lang' in (a, b) or 'source' in (a, b) else ''}" for a, b, g in (("lang", "source", 0), ("lang", "NULL", 1), ("NULL", "source", 2), ("NULL", "NULL", 3))]
+    return f"WITH {SCORED} " + " UNION ALL ".join(parts)
+
+
+def layers() -> str:
+    return f"""WITH {SCORED}, long AS (SELECT y, 'score' AS layer, score FROM scored UNION ALL SELECT y, 'chars', chars FROM scored)
+    SELECT l.layer, count(*) AS n, round(avg(score), 4) AS mean, round(median(score), 4) AS median, round(min(score), 4) AS low, round(max(score), 4) AS high, max(a.auc) AS auc FROM long l JOIN ({_auc('long', 'layer')}) a ON a.layer = l.layer GROUP BY l.layer"""
+
+
+_EDITED = f"SELECT *, CASE WHEN length({CUT}) = 0 THEN 0 ELSE 100.0::DOUBLE * length(regexp_replace({CUT}, '[^\\p{{L}}]', '', 'g')) / length({CUT}) END AS after, length(text) - length(replace(text, chr(10), '')) AS pb, length({CUT}) - length(replace({CUT}, chr(10), '')) AS pa, length({CUT}) AS ca FROM scored"
+
+
+def pair_report() -> str:
+    return f"""WITH {SCORED}, e AS ({_EDITED}), r AS (SELECT *, row_number() OVER (PARTITION BY source, y ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM e),
+    j AS (SELECT a.source, b.score AS human, a.score AS model, a.score - a.after AS delta, a.pb, a.pa, a.chars AS cb, a.ca FROM r a JOIN r b ON b.source = a.source AND b.rn = a.rn AND b.y = 0 WHERE a.y = 1)
+    SELECT source, count(*) AS n, round(avg(CASE WHEN human < model THEN 1.0 ELSE 0.0 END), 4) AS correct_rate, round(avg(model - human), 4) AS gap, round(avg(delta), 4) AS delta_avg, round(list_sort(list(delta))[count(*) // 2 + 1], 4) AS delta_median, round(min(delta), 4) AS delta_min, round(max(delta), 4) AS delta_max,
+      round(avg(CASE WHEN pa >= pb THEN 1.0 ELSE 0.0 END), 4) AS preserved, round(avg(ca / nullif(cb, 0)), 4) AS length_ratio, CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS improved FROM j GROUP BY GROUPING SETS ((source), ())"""
+
+
+def longform() -> str:
+    n = " + ".join(f"greatest(0, len({found('b', p)}) - len({found('text', p)}))" for p in guards.DEFECTS)
+    return f"""WITH {SCORED}, e AS (SELECT *, {CUT} AS b FROM ({_EDITED})), k AS (SELECT lang AS genre, source AS model, score, after, CASE WHEN pa = pb THEN 1.0 ELSE 0.0 END AS kept, {n} AS d FROM e)
+    SELECT genre, model, count(*) AS n, round(avg(score), 4) AS before, round(avg(after), 4) AS after, round(avg(score - after), 4) AS delta, round(avg(kept), 4) AS preserved, CAST(sum(d) AS BIGINT) AS defects FROM k GROUP BY GROUPING SETS ((genre), (model), ())"""
+
+
+def controls() -> str:
+    return "SELECT doc_id AS id, 'general' AS scene, lang AS genre, length(text) AS chars, source AS provenance FROM documents WHERE lang IN ('en', 'de') AND length(text) BETWEEN 200 AND 2000 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 50"

@@ -59,7 +59,7 @@ def models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "analyzed", lambda: written(scoring.analyzed(docs(spark, sf_dir), models(spark, sf_dir)), "analyzed"))
+    return once(spark, sf_dir, "analyzed", lambda: written(scoring.analyzed(docs(spark, sf_dir), models(spark, sf_dir), own=True), "analyzed"))
 
 
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,54 @@ def votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own, whole.union(spark.sql(fx.values(fx.VOTED, "text_id, text")).select(-F.col("text_id"), "text"))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, y, chars, score): labelled documents with the letters' share of all characters, which stands in for a score; labels.quality stands in for the class."""
+    d = dealt(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")).join(read(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    n = F.length("text").cast("double")
+    return d.select("doc_id", "lang", "source", "y", n.alias("chars"), F.when(n == 0, 0.0).otherwise(100.0 * T.size(F.col("text"), "letters") / n).alias("score"))
+
+
+def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    parts = s.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("chars"), 3).alias("mean_chars"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.stddev_samp("score"), 4).alias("sd"), F.round(F.min("score"), 4).alias("least"), F.round(F.max("score"), 4).alias("most"))
+    return parts.join(reports.medians(s.select("lang", "score"), ["lang"]), "lang").withColumn("median", F.round("median", 4))
+
+
+def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.split(scored(spark, sf_dir), "y").groupBy("y", F.when(F.col("holdout"), "holdout").otherwise("train").alias("part")).agg(F.count("*").alias("n"))
+
+
+def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of both classes paired by their places within source; the edit takes digits and full stops out."""
+    d = scored(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
+    cut = T.sub(F.col("text"), "[0-9]+(?:[.,][0-9]+)*%?|[.] ", " ")
+    size = F.length(cut)
+    d = d.withColumns({"after": F.when(size == 0, 0.0).otherwise(100.0 * T.size(cut, "letters") / size), "pb": F.size(F.split("text", "\n")), "pa": F.size(F.split(cut, "\n")), "ca": size})
+    r = reports.ranked(d, ["source", "y"])
+    one, zero = (r.where(f"y = {y}") for y in (1, 0))
+    j = one.join(zero.select("source", "rn", F.col("score").alias("human")), ["source", "rn"])
+    return reports.pair_report(j.select("source", "human", F.col("score").alias("model"), "after", F.col("pb").alias("paragraphs_before"), F.col("pa").alias("paragraphs_after"), F.col("chars").alias("chars_before"), F.col("ca").alias("chars_after")))
+
+
+def longform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scored(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
+    cut = T.sub(F.col("text"), "[0-9]+(?:[.,][0-9]+)*%?|[.] ", " ")
+    size = F.length(cut)
+    after = F.when(size == 0, 0.0).otherwise(100.0 * T.size(cut, "letters") / size)
+    return reports.longform_report(d.select(F.col("lang").alias("genre"), F.col("source").alias("model"), F.col("score").alias("before"), after.alias("after"), (F.size(F.split("text", "\n")) == F.size(F.split(cut, "\n"))).cast("int").alias("preserved"), guards.defects(F.col("text"), cut).alias("defects")))
+
+
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, whole = votes(spark, sf_dir)
+    after = guards.polished(whole.withColumnRenamed("text_id", "doc_id")).withColumnRenamed("doc_id", "text_id")
+    return _rounded(reports.acceptance(reports.jury(v, whole), whole, after), "cv", "short_frac")
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("genre"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("provenance"))
+    return reports.controls(rows, "general", ["en", "de"], 200, 2000, 50).drop("text")
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in columns})
 
@@ -164,11 +212,14 @@ def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: queries whose SQL is that of the statistics, run here by table functions
 REPLACED = {
-    "perplexity": _model(ngrams.perplexity), "gltr_buckets": _model(ngrams.rank_buckets), "surprisal_moments": _model(ngrams.moments), "ngram_train": _trained,
+    "perplexity": _model(lambda d, m: ngrams.perplexity(d, m, own=True)), "gltr_buckets": _model(ngrams.rank_buckets), "surprisal_moments": _model(lambda d, m: ngrams.moments(d, m, own=True)), "ngram_train": _trained,
     "bigram_entropy": lambda s, d: ngrams.entropy(docs(s, d)).where("entropy <> 5 OR entropy IS NOT NULL"), "para_entropy_cv": lambda s, d: ngrams.paragraph_entropy_spread(docs(s, d)), "cross_para_trigram": lambda s, d: ngrams.cross_paragraph_repeats(docs(s, d)),
-    "dual_model_diff": lambda s, d: ngrams.model_differences(docs(s, d), models(s, d)),
-    "surprisal_autocorr": lambda s, d: _rounded(ngrams.series(docs(s, d), model(s, d, "primary")).select("doc_id", "lag1", "lag2", "lag4", "lag8"), "lag1", "lag2", "lag4", "lag8"),
-    "ppl_windows_burstiness": lambda s, d: _rounded(ngrams.series(docs(s, d), model(s, d, "primary")).where("n_windows > 0").select("doc_id", "n_windows", "burst"), "burst"),
+    "dual_model_diff": lambda s, d: ngrams.model_differences(docs(s, d), models(s, d), own=True),
+    "surprisal_autocorr": lambda s, d: _rounded(ngrams.series(docs(s, d), model(s, d, "primary"), own=True).select("doc_id", "lag1", "lag2", "lag4", "lag8"), "lag1", "lag2", "lag4", "lag8"),
+    "balanced_sample": lambda s, d: reports.balanced(read(s, d, "documents").select("doc_id", "lang"), "lang"), "class_balance": lambda s, d: reports.balanced(scored(s, d), "y").select("doc_id", "y"), "stratified_split": stratified,
+    "exact_dedup": lambda s, d: reports.first_of_equal(docs(s, d)), "group_report": group_report, "auc_rank": lambda s, d: reports.auc(scored(s, d)).select((F.col("n_pos") + F.col("n_neg")).alias("n"), "auc"),
+    "cohens_d": lambda s, d: reports.effect_sizes(scored(s, d)),
+    "ppl_windows_burstiness": lambda s, d: _rounded(ngrams.series(docs(s, d), model(s, d, "primary"), own=True).where("n_windows > 0").select("doc_id", "n_windows", "burst"), "burst"),
 }
 
 #: name -> query and its SQL, None where SQL can't express it
@@ -185,8 +236,8 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "academic_score": (academic_score, oracles.academic_score()),
     "indicators": (lambda s, d: scoring.indicators(analyzed(s, d)), f"WITH {oracles.flags()} SELECT doc_id, {', '.join(scoring.INDICATORS)} FROM flags"),
     "feature_vector": (lambda s, d: _rounded(scoring.vector(analyzed(s, d)), *scoring.FEATURES), None),
-    "spectral_flatness": (lambda s, d: ngrams.series(docs(s, d), model(s, d, "primary")).select("doc_id", F.round("flatness", 4).alias("value")), None),
-    "curvature": (lambda s, d: _rounded(ngrams.curvature(docs(s, d), model(s, d, "primary")), "value"), None),
+    "spectral_flatness": (lambda s, d: ngrams.series(docs(s, d), model(s, d, "primary"), own=True).select("doc_id", F.round("flatness", 4).alias("value")), None),
+    "curvature": (lambda s, d: _rounded(ngrams.curvature(docs(s, d), model(s, d, "primary"), own=True), "value"), None),
     "secondary_signal": (lambda s, d: scoring.secondary(analyzed(s, d)), None),
     "lr_fit": (lr_fit, None), "lr_score": (lr_score, None), "fused_score": (fused_score, None),
     "genre_route": (_on(scoring.genre), oracles.genre()), "lr_scene": (_on(scoring.scene_of_model), oracles.lr_scene()),
@@ -216,6 +267,9 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "survival_note": (lambda s, d: hygiene.survival_notes(hygiene.survival(pairs(s, d), (hygiene.HEADLINE,))), oracles.NOTES),
     "passage_survival": (passages, oracles.passages()),
     "green_simulation": (lambda s, d: _rounded(hygiene.simulations(s.range(8).select(F.col("id").alias("sim_id")), model(s, d, "primary"), 600, b"key"), "z"), None),
+    "scene_report": (lambda s, d: reports.scene_report(scored(s, d).withColumnRenamed("lang", "scene")), oracles.scene_report()), "margins": (lambda s, d: reports.margins(scored(s, d).withColumnsRenamed({"lang": "scene", "source": "model"})), oracles.margins()),
+    "layer_report": (lambda s, d: reports.layer_report(scored(s, d), ["score", "chars"]), oracles.layers()), "pair_report": (pair_report, oracles.pair_report()), "longform_report": (longform, oracles.longform()), "control_build": (controls, oracles.controls()),
+    "acceptance": (acceptance, None),
     "jury": (lambda s, d: reports.jury(*votes(s, d)), oracles.jury()),
     "before_after": (before_after, oracles.before_after()),
     "compression_ratio": (lambda s, d: _rounded(reports.compression(docs(s, d), read(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), read(s, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), "text")), "ratio"), None),
