@@ -78,12 +78,13 @@ def links(fps: DataFrame) -> DataFrame:
     key = "((fp ^ x.f) & x.low) | (shiftrightunsigned(fp ^ x.f, x.width) & ~x.low) | shiftleft(x.b, 60)"
     # dealt out first: a small table of fingerprints would be read by a few tasks, which then make all the variants
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.repartition(n, "fp").select("fp", _balls().alias("x")).select(
-        "fp",
-        F.expr(key).alias("key"),
-        F.expr("cast(shiftrightunsigned(fp, x.first) & x.values as int)").alias("v"),
-        (F.col("x.f") == 0).alias("own"),
-    )
+    # only keys and fingerprints are shuffled; the block's value and whether a variant is the fingerprint's own follow from them
+    rows = fps.repartition(n, "fp").select("fp", _balls().alias("x")).select("fp", F.expr(key).alias("key")).repartition(n, "key")
+    block = F.shiftrightunsigned("key", 60)
+    pick = lambda f: F.coalesce(*[F.when(block == b, f(b, first, width)) for b, (first, width) in enumerate(_BLOCKS)])
+    plain = lambda b, first, width: F.expr(f"(fp & {(1 << first) - 1}L) | (shiftrightunsigned(fp, {width}) & ~{(1 << first) - 1}L) | shiftleft({b}L, 60)")
+    value = lambda b, first, width: F.expr(f"cast(shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L as int)")
+    rows = rows.withColumns({"v": pick(value), "own": pick(plain) == F.col("key")})
     w = Window.partitionBy("key")
     shared = rows.withColumns({"mn": F.min("fp").over(w), "mx": F.max("fp").over(w), "v0": F.min("v").over(w), "v1": F.max("v").over(w)}).where("mn <> mx")
     shared = materialize(shared.select("key", "v", "fp", "own", (F.col("v0") != F.col("v1")).alias("spread")), "balls")
