@@ -93,7 +93,8 @@ def rules(docs: DataFrame, lex: dict | None = None, alphabet: str = "auto") -> D
 
 def issues(ruled: DataFrame) -> DataFrame:
     """(doc_id, category, severity, text, cnt): a row for each issue."""
-    return ruled.select("doc_id", F.inline("issues"))
+    # not inline: a filter on the array's size would be inferred and pushed below, and all rules would run twice
+    return ruled.select("doc_id", F.inline_outer("issues")).where("category IS NOT NULL")
 
 
 def statistical(indicators: DataFrame, names: list[str]) -> DataFrame:

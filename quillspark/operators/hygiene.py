@@ -187,9 +187,13 @@ def survival(pairs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """
     skip = lambda c: F.translate(F.coalesce(c, F.lit("")), " \t\r\n　", "")
     p = pairs.select("pair_id", skip("before").alias("b"), skip("after").alias("a")).repartition("pair_id")
-    windows = lambda c: F.flatten(F.array(*[F.transform(T.grams(F.col(c), w), lambda g: F.struct(F.lit(w).alias("width"), g.alias("g"))) for w in widths]))
-    sides = [p.select("pair_id", F.inline(windows(c)), F.lit(side).alias("side")) for c, side in (("b", 0), ("a", 1))]
-    n = sides[0].union(sides[1]).groupBy("pair_id", "width", "g").agg(F.sum(1 - F.col("side")).alias("b"), F.sum("side").alias("a"))
+    # one gram of the greatest width at each place, padded at the end; narrower windows are its beginnings
+    most = max(widths)
+    gram = lambda c: F.explode(T.grams(F.concat(c, F.lit("\u0001" * (most - 1))), most)).alias("g")
+    sides = [p.where(f"{c} <> ''").select("pair_id", gram(F.col(c)), F.lit(side).alias("side")) for c, side in (("b", 0), ("a", 1))]
+    n = sides[0].union(sides[1]).groupBy("pair_id", "g").agg(F.sum(1 - F.col("side")).alias("b"), F.sum("side").alias("a"))
+    n = n.select("pair_id", "b", "a", "g", F.explode(F.array(*map(F.lit, widths))).alias("width")).withColumn("g", F.left("g", F.col("width"))).where(~F.endswith("g", F.lit("\u0001")))
+    n = n.groupBy("pair_id", "width", "g").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     n = n.groupBy("pair_id", "width").agg(F.sum("b").alias("total"), F.sum(F.least("b", "a")).alias("kept"), F.sum("a").alias("after_total"))
     every = pairs.select("pair_id", F.explode(F.array(*map(F.lit, widths))).alias("width"))
     n = every.join(n, ["pair_id", "width"], "left").fillna(0, ["total", "kept", "after_total"])
