@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -12,25 +12,20 @@ from quillspark.sources import lexicons
 TOP = 20
 
 
-def _signature(p: Column, alphabet: str) -> Column:
-    """The TOP most frequent bigrams of a paragraph, earlier ones first among equals; empty under ten characters."""
-    h = F.lower(T.extract(p, alphabet))
+def diffusion(docs: DataFrame, alphabet: str = "auto") -> DataFrame:
+    """(doc_id, value, used): one less the mean Jaccard likeness of neighbouring paragraphs' TOP most frequent bigrams, earlier ones first among equals.
 
-    def best(g: Column) -> Column:
-        kinds = F.transform(F.array_distinct(g), lambda x: F.struct((-F.size(F.filter(g, lambda y: y == x))).alias("n"), F.array_position(g, x).alias("at"), x.alias("x")))
-        return F.transform(F.slice(F.array_sort(kinds), 1, TOP), lambda s: s["x"])
-
-    return F.when(F.length(h) < 10, F.array().cast("array<string>")).otherwise(T.let(T.grams(h, 2), best))
-
-
-def diffusion(paragraphs: Column, alphabet: str) -> Column:
-    """(value, used): one less the mean Jaccard likeness of neighbouring paragraphs' signatures; 1 with fewer than two."""
-
-    def one(s: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.size(F.array_intersect(s[i], s[i + 1])) / F.size(F.array_union(s[i], s[i + 1])))
-        return F.struct(F.when(F.size(s) < 2, F.lit(1.0)).otherwise(1 - T.mean(pairs)).alias("value"), F.size(s).alias("used"))
-
-    return T.let(F.filter(F.transform(paragraphs, lambda p: _signature(p, alphabet)), lambda s: F.size(s) > 0), one)
+    Paragraphs are of over 20 characters, ten of which count; documents with one of them have the value 1, others no row.
+    """
+    paragraphs = F.filter(F.transform(T.paragraphs(F.coalesce("text", F.lit("")), alphabet), T.strip), lambda x: F.length(x) > 20)
+    p = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(paragraphs).alias("idx", "s"))
+    h = F.lower(T.extract(F.col("s"), alphabet))
+    g = p.withColumn("h", h).where(F.length("h") >= 10).select("doc_id", "idx", F.posexplode(T.grams(F.col("h"), 2)).alias("pos", "g"))
+    n = g.groupBy("doc_id", "idx", "g").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    n = n.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.col("n").desc(), "pos"))).where(F.col("r") <= TOP)
+    top = n.groupBy("doc_id", "idx").agg(F.collect_list("g").alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("idx")))
+    alike = F.when(F.col("b").isNotNull(), F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    return top.groupBy("doc_id").agg((1 - F.coalesce(F.avg(alike), F.lit(0.0))).alias("value"), F.count("*").alias("used"))
 
 
 def dimensions(docs: DataFrame, lex: dict | None = None, alphabet: str = "auto") -> DataFrame:
@@ -43,15 +38,15 @@ def dimensions(docs: DataFrame, lex: dict | None = None, alphabet: str = "auto")
     first = lambda p: T.strip(F.when(F.contains(p, F.lit("。")), F.substring_index(p, "。", 1)).otherwise(F.left(p, F.lit(50))))
     opened = F.size(F.filter("short", lambda p: T.total([F.when(first(p).rlike(r"(?U)" + o), 1).otherwise(0) for o in lex["paragraph_openers"]]) > 0))
     numbers = {"connectors": count("logic_connectors"), "certain": count("certainty"), "hedges": count("academic_hedges"), "cites": F.size(T.matches(t, lex["citation"])),
-               "templates": T.total([F.size(T.matches(t, p)) for p in lex["citation_templates"]]), "passive": patterns(t, "passive_overuse", "high", lex["passive_patterns"], 40, False), "opened": opened, "diffusion": diffusion(F.filter("short", lambda x: F.length(x) > 20), alphabet)}
-    d = d.withColumns(numbers).withColumn("connector_density", F.when(n > 0, F.col("connectors") / (n / 100)).otherwise(0.0))
+               "templates": T.total([F.size(T.matches(t, p)) for p in lex["citation_templates"]]), "passive": patterns(t, "passive_overuse", "high", lex["passive_patterns"], 40, False), "opened": opened}
+    d = d.withColumns(numbers).join(diffusion(docs, alphabet), "doc_id", "left").withColumn("connector_density", F.when(n > 0, F.col("connectors") / (n / 100)).otherwise(0.0))
     found = F.filter(F.array(*[issue("connector_density", "info", w, T.occurrences(t, w)) for w in lex["logic_connectors"]]), lambda x: x["cnt"] > 0)
     repeated = F.filter(F.array(*[F.struct((-T.occurrences(t, w)).alias("n"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(lex["academic_repeat_words"])]), lambda x: x["n"] <= -4)
     tail = F.substr(t, (F.floor(F.length(t) * 0.8) + 1).cast("int"), F.length(t))
     perfect = T.total([F.when(tail.rlike("(?d)" + p), 1).otherwise(0) for p in lex["perfect_conclusions"]])
     limited = T.total([F.when(F.contains(tail, F.lit(w)), 1).otherwise(0) for w in lex["limitations"]])
     certain, hedges = F.col("certain"), F.col("hedges")
-    value, used = F.col("diffusion.value"), F.col("diffusion.used")
+    value, used = F.coalesce("value", F.lit(1.0)), F.coalesce("used", F.lit(0))
     every = [
         phrases(t, "ai_academic_phrases", "critical", lex["academic_phrases"]),
         F.slice("passive", 1, 10),

@@ -140,11 +140,15 @@ def depths(text: str, opening: str = QUOTES, closing: str = CLOSERS, straight: b
     return list(accumulate(zip(text, plain, strict=True), step, initial=0))[1:]
 
 
-def depth_column(t: Column, opening: str = QUOTES, closing: str = CLOSERS) -> Column:
-    """depths without straight quotes as an expression: the running balance less its running minimum, array of ints."""
-    move = F.transform(T.chars(t), lambda c: F.when(F.contains(F.lit(opening), c), 1).when(F.contains(F.lit(closing), c), -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(move, start, lambda s, m: T.let(F.greatest(F.lit(0), s["d"] + m), lambda d: F.struct(d.alias("d"), F.concat(s["out"], F.array(d)).alias("out"))))["out"]
+def quote_depths(docs: DataFrame, opening: str = QUOTES, closing: str = CLOSERS, straight: bool = False) -> DataFrame:
+    """(doc_id, depths): depths of each text, an array of ints."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = [depths(t or "", opening, closing, straight) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "depths"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, depths array<int>")
 
 
 def similarity(before: str, after: str) -> float:

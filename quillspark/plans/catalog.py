@@ -13,11 +13,11 @@ BODIES = statistics.QUERIES | rules.QUERIES | texts.QUERIES | features.QUERIES |
 TABLES = ("documents", "labels", "conversations", "pages", "benchmark")
 
 
-def build(name: str, x: Spark, sf_dir: str | None = None) -> str:
-    """The query with the relations that it uses as common table expressions; tables are read from sf_dir, or taken as registered."""
+def build(name: str, x: Spark, sf_dir: str | None = None, hint: str = "") -> str:
+    """The query with the relations that it uses as common table expressions; tables are read from sf_dir, documents with a hint, or taken as registered."""
     body, known = BODIES[name](x), segments.relations(x)
     if sf_dir is not None:
-        known = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | known
+        known = {t: f"SELECT {hint if t == 'documents' else ''} * FROM parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | known
     need, todo = set(), [body]
     while todo:
         for r in set(re.findall(r"\w+", todo.pop())) & set(known) - need:
@@ -30,7 +30,10 @@ def build(name: str, x: Spark, sf_dir: str | None = None) -> str:
 
 def _query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(build(name, Spark(), sf_dir))
+        # a table of fewer partitions than cores (one small file) is dealt over all of them
+        cores = spark.sparkContext.defaultParallelism
+        few = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() < cores
+        return spark.sql(build(name, Spark(), sf_dir, f"/*+ REPARTITION({cores}) */" if few else ""))
 
     return run
 

@@ -252,7 +252,7 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "block_structure": (_on(lambda d: d.select("doc_id", F.explode(T.paragraphs(F.col("text"), "auto")).alias("p")).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.when(guards.structural(T.strip(F.col("p"))), 1).otherwise(0)).alias("structural"))), oracles.structure()),
     "punct_normalize": (_col("body", guards.normalize), None),
     "punct_profile": (_on(lambda d: d.select("doc_id", guards.punct_profile(F.col("text")).alias("p")).select("doc_id", "p.*")), f"WITH {oracles.BASE} SELECT doc_id, {oracles.times('t', oracles.lit(','))} AS half_comma, {oracles.times('t', oracles.lit('，'))} AS full_comma, CAST(len(regexp_extract_all(t, '[一-鿿][.]')) AS INTEGER) AS half_stop, {oracles.times('t', oracles.lit('。'))} AS full_stop, CAST(length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS INTEGER) AS han_n FROM base"),
-    "quote_depth": (_on(lambda d: d.where("doc_id < 0").select("doc_id", F.array_join(guards.depth_column(F.col("text")).cast("array<string>"), ",").alias("depths"))), None),
+    "quote_depth": (_on(lambda d: guards.quote_depths(d).select("doc_id", F.size("depths").alias("chars"), F.array_max("depths").alias("deepest"), F.size(F.filter("depths", lambda x: x > 0)).alias("inside"))), None),
     "rhythm_metrics": (_on(lambda d: _rounded(guards.rhythm(d, "auto"), "cv", "short_frac", "mean_len")), oracles.rhythm()),
     "merge_candidates": (_on(guards.merge_candidates), oracles.merges()), "split_candidates": (_on(guards.split_candidates), None), "rhythm_polish": (_on(guards.polished), None), "guarded_replace": (_on(guards.replace_guarded), None),
     "invariant": (lambda s, d: pairs(s, d).select("pair_id", guards.same_but_punctuation(F.col("before"), F.col("after")).alias("same")), f"WITH {oracles.PAIRS} SELECT pair_id, {oracles.bare('before')} = {oracles.bare('after')} AS same FROM pairs"),

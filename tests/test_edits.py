@@ -90,7 +90,7 @@ def test_primitives(spark):
     assert one(spark, guards.dialogue_density, ["“一二三”四", '"abc"d', "“一”", ""]) == [5 / 6, 3 / 6, 0, 0]
     assert one(spark, guards.structural, ["# a", "- a", "**粗**", "**粗**x", "1. a", "“话”", "一、好", "（一）好", "正文"]) == [True, True, True, False, True, True, True, True, False]
     assert one(spark, lambda t: guards.structural(t, False), ["一、好"]) == [False]
-    assert one(spark, guards.depth_column, ["a（b「c」）d）e"]) == [[0, 1, 1, 2, 2, 1, 0, 0, 0, 0]]
+    assert guards.quote_depths(texts(spark, ["a（b「c」）d）e", None])).orderBy("doc_id").collect()[0].depths == [0, 1, 1, 2, 2, 1, 0, 0, 0, 0]
     assert guards.depths("a（b「c」）d）e") == [0, 1, 1, 2, 2, 1, 0, 0, 0, 0]
     assert guards.depths('a"b"c', guards.PAIRS, guards.PAIR_CLOSERS, straight=True) == [0, 1, 1, 0, 0]
     raw = ['```json\n{"a": 1}\n```', 'so {"a": [1]} then', "none", "[1]", None]
