@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.scratch import dealt
 from quillspark.functions.session import prepare
 
 
@@ -53,7 +54,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(df) if name == "documents" else df
 
 
 def fold(doc_id: Column) -> Column:
