@@ -51,14 +51,10 @@ QUERIES = {
     "balanced_sample": lambda x: f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_hashed(x)}) AS rn FROM docs) t WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM docs GROUP BY lang) q)",
     "standardize": lambda x: f"SELECT feature, round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 1), 4) AS sd FROM (SELECT 'score' AS feature, score AS v FROM {SCORED} UNION ALL SELECT 'chars', chars FROM {SCORED}) t GROUP BY feature",
     "accuracy": lambda x: f"SELECT round(avg(CASE WHEN (score >= 80) = (y = 1) THEN 1.0 ELSE 0.0 END), 4) AS accuracy, count(*) AS n FROM {SCORED}",
-    "lr_score": lambda x: f"SELECT doc_id, round(logit, 4) AS logit, {x.half_even('round(100 / (1 + exp(-logit)), 6)')} AS score FROM (SELECT doc_id, (score - 80) / 4 * 0.7 + (ln(1 + chars) - 7) * -0.2 + 0.1 AS logit FROM {SCORED}) t",
-    "fused_score": lambda x: f"SELECT doc_id, {x.half_even('0.2 * rule + 0.8 * round(100 / (1 + exp(-logit)), 0)')} AS fused FROM (SELECT doc_id, least(60, CAST(chars AS BIGINT) % 61) AS rule, (score - 80) / 4 * 0.7 + 0.1 AS logit FROM {SCORED}) t",
-    "before_after": lambda x: f"SELECT coalesce(a.category, b.category) AS category, coalesce(a.n, 0) AS before_n, coalesce(b.n, 0) AS after_n FROM (SELECT lang AS category, count(*) AS n FROM {SCORED} WHERE score >= 80 GROUP BY lang) a FULL OUTER JOIN (SELECT lang AS category, count(*) AS n FROM {SCORED} WHERE score < 78 GROUP BY lang) b ON b.category = a.category",
     "style_report": lambda x: f"SELECT lang, count(*) AS n, round(avg(comma), 4) AS comma_density, round(avg(score), 4) AS mean_score, CAST(sum(CASE WHEN score >= 83 THEN 1 ELSE 0 END) AS BIGINT) AS very_high FROM (SELECT lang, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * length(h) / length(text) END AS score, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * {x.count('text', ',')} / length(text) END AS comma FROM docs JOIN letters ON letters.doc_id = docs.doc_id) t GROUP BY lang",
     "layer_auc": _layers,
     "class_balance": lambda x: f"SELECT doc_id, y FROM (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY {_hashed(x)}) AS rn FROM {SCORED}) t WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {SCORED} GROUP BY y) q)",
     "stratified_split": lambda x: f"SELECT y, CASE WHEN holdout THEN 'holdout' ELSE 'train' END AS part, count(*) AS n FROM (SELECT y, row_number() OVER (PARTITION BY y ORDER BY {_hashed(x)}) * 5 <= count(*) OVER (PARTITION BY y) AS holdout FROM {SCORED}) t GROUP BY y, holdout",
-    "control_build": lambda x: "SELECT doc_id, lang, source FROM docs WHERE lang = 'en' AND length(text) BETWEEN 200 AND 2000",
     "job_grid": lambda x: "SELECT lang, source FROM (SELECT lang, source FROM (SELECT DISTINCT lang FROM docs) a CROSS JOIN (SELECT DISTINCT source FROM docs) b) g WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lang AS l, source AS s FROM docs WHERE length(text) > 2000) d WHERE d.l = g.lang AND d.s = g.source)",
     "pair_summary": lambda x: f"SELECT lang, count(*) AS n, round(avg(CASE WHEN h < a THEN 1.0 ELSE 0.0 END), 4) AS correct_rate, round(avg(a - h), 4) AS gap FROM (SELECT lang, avg(CASE WHEN y = 0 THEN score END) AS h, avg(CASE WHEN y = 1 THEN score END) AS a FROM {SCORED} GROUP BY lang, source) t WHERE h IS NOT NULL AND a IS NOT NULL GROUP BY lang",
     "verdict_bands": lambda x: f"SELECT CASE WHEN auc >= 0.9 THEN 'strong' WHEN auc >= 0.75 THEN 'useful' WHEN auc >= 0.65 THEN 'weak' ELSE 'none' END AS verdict, n FROM ({_auc()}) t",

@@ -204,6 +204,16 @@ def defects(before: Column, after: Column, patterns: tuple[str, ...] = DEFECTS)
     return T.total([F.greatest(F.lit(0), n(after, p) - n(before, p)) for p in patterns])
 
 
+def in_sentence_repeats(docs: DataFrame, lex: dict | None = None, gap: int = 20) -> DataFrame:
+    """(doc_id, idx, g, n, gap): Han bigrams that a sentence of ten characters or more holds twice at most `gap` apart, with their places and least distance; common bigrams and sentences with a rightful repetition are left out."""
+    lex = lex or lexicons.load()
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "[。！？!?\n]+", -1), T.strip), lambda s: F.length(s) >= 10)
+    s = docs.select("doc_id", F.posexplode(parts).alias("idx", "s")).where(~F.col("s").rlike("|".join(f"(?:{p})" for p in lex["legit_repeats"])))
+    g = s.select("doc_id", "idx", F.posexplode(T.grams(F.col("s"), 2)).alias("pos", "g")).where(F.col("g").rlike("^[一-鿿]{2}$") & ~F.col("g").isin(lex["common_bigrams"]))
+    g = g.withColumn("d", F.col("pos") - F.lag("pos").over(Window.partitionBy("doc_id", "idx", "g").orderBy("pos")))
+    return g.groupBy("doc_id", "idx", "g").agg(F.count("*").alias("n"), F.min("d").alias("gap")).where(F.col("gap") <= gap)
+
+
 # rhythm
 
 

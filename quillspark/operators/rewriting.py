@@ -573,6 +573,13 @@ def expanded(candidates: DataFrame, thesaurus: DataFrame) -> DataFrame:
     return candidates.join(more, "word", "left").select("word", F.array_distinct(F.concat("candidates", F.coalesce("more", F.array().cast("array<string>")))).alias("candidates"))
 
 
+def casual_words(t: Column, table: dict[str, str] | None = None) -> Column:
+    """to_casual as an expression."""
+    for formal, casual in (table or lexicons.DEFAULT["formal_to_casual"]).items():
+        t = F.replace(t, F.lit(formal), F.lit(casual)) if casual else F.replace(F.replace(t, F.lit(formal + "，"), F.lit("")), F.lit(formal), F.lit(""))
+    return t
+
+
 def reduce_punctuation(t: Column) -> Column:
     """Where over three parts lie between semicolons, these become comma and full stop in turn; double dashes become single."""
     parts = F.split(t, "；", -1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from quillspark.functions.dialect import Spark
-from quillspark.sources import fixtures as fx
 
 #: models of the n-gram queries, by the table that they are counted on
 MODELS = {"primary": "docs", "human": "user_turns", "wiki": "page_texts", "news": "bench"}
@@ -18,22 +17,14 @@ def relations(x: Spark) -> dict[str, str]:
     n = lambda s: f"CAST(length({x.sub(s, r'[^\p{L}]')}) AS BIGINT)"
     out = {
         "docs": "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents",
-        "fx": fx.values(fx.HAN, "doc_id, text"),
-        "hygiene": fx.values(fx.HYGIENE, "doc_id, text"),
-        "pairs": fx.values(fx.PAIRS, "pair_id, before, after"),
-        "votes": fx.values(fx.VOTES, "text_id, model, score, quote"),
-        "voted": fx.values(fx.VOTED, "text_id, text"),
         "user_turns": "SELECT conv_id AS doc_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user'",
         "page_texts": f"SELECT page_id AS doc_id, {x.sub("coalesce(html, '')", '<[^>]*>', ' ')} AS text FROM pages",
         "bench": "SELECT item_id AS doc_id, coalesce(text, '') AS text FROM benchmark",
         "letters": _letters(x, "docs"),
-        "han": f"SELECT doc_id, text, {x.sub('text', '[^一-鿿]')} AS h FROM fx",
         "sents": x.rows("docs", "doc_id", x.keep(x.map(x.split("text", r"[.!?\n]+"), "trim(x)"), "x <> ''")),
         "slen": f"SELECT doc_id, idx, s, {n('s')} AS n FROM sents",
         "paras": x.rows("docs", "doc_id", x.keep(x.split("text", r"\n"), f"{n('x')} >= 20")),
         "paras30": x.rows("docs", "doc_id", x.keep(x.split("text", r"\n"), f"{n('x')} >= 30")),
-        "hsents": x.rows("fx", "doc_id", x.keep(x.map(x.all("text", "[^。！？\n]*[。！？\n]?"), x.sub("x", r"^\s+|\s+$")), "length(x) > 1")),
-        "hparas": x.rows("fx", "doc_id", x.keep(x.split("text", r"\n"), "length(x) > 0")),
         "g1": x.rows("letters", "doc_id", x.chars("h"), "pos, g"),
         "g2": x.rows("letters", "doc_id", x.grams(x.chars("h"), 2), "pos, g"),
         "g3": x.rows("letters", "doc_id", x.grams(x.chars("h"), 3), "pos, g"),

@@ -5,13 +5,6 @@ from __future__ import annotations
 from quillspark.functions.dialect import Spark
 from quillspark.operators.guards import EMOJI
 
-TRANSITIONS = ("however", "therefore", "moreover", "the", "and", "de", "und", "que")
-
-
-def occurrences(t: str, phrase: str) -> str:
-    """Non-overlapping occurrences, left to right."""
-    return f"CAST((length({t}) - length(replace({t}, '{phrase}', ''))) / {len(phrase)} AS BIGINT)"
-
 
 def entropy(keys: str, source: str) -> str:
     """(keys, h): Shannon entropy in bits of the grams g."""
@@ -57,25 +50,13 @@ def _sentence_length(_: Spark) -> str:
     return f"SELECT doc_id, count(*) AS n, round(avg(n), 4) AS mean_len, round(stddev_pop(n) / avg(n), 4) AS cv, {shares} FROM slen WHERE n >= 3 GROUP BY doc_id HAVING count(*) >= 3"
 
 
-def _starters(x: Spark) -> str:
-    return f"SELECT doc_id, round(h, 4) AS value FROM ({entropy('doc_id', f'(SELECT doc_id, substr(lower(s), 1, 2) AS g FROM sents) q')}) t WHERE total >= 5"
-
-
-def _signals(x: Spark) -> str:
-    return f"""SELECT doc_id, round(stddev_pop(k) / avg(k), 4) AS sentence_count_cv, count(*) AS n_paras, round(avg(CASE WHEN {x.like('s', '^([-*#]|[0-9]+[.])')} THEN 1.0 ELSE 0.0 END), 4) AS list_density,
-        round(stddev_pop(p) / nullif(avg(p), 0), 4) AS punct_cv FROM (SELECT doc_id, s, {x.count('s', '[.!?]')} AS k, {x.count('s', '[,.;:!?]')} * 1.0 / length(s) AS p FROM paras) t GROUP BY doc_id HAVING avg(k) > 0"""
-
-
 def _inner(x: Spark) -> str:
     """Letters of the sentences of long paragraphs, of documents that have three of them."""
     return f"SELECT u.doc_id, u.idx, {x.count('s', r'\p{L}')} AS n FROM ({x.rows('paras30', 'doc_id, idx', x.split('s', '[.!?]+'), 'j, s')}) u JOIN (SELECT doc_id FROM paras30 GROUP BY doc_id HAVING count(*) >= 3) k ON k.doc_id = u.doc_id"
 
 
 QUERIES = {
-    "han_count": lambda x: f"SELECT doc_id, CAST(length(h) AS BIGINT) AS letters, {x.count('h', '[一-鿿]')} AS han_n FROM letters UNION ALL SELECT doc_id + 1000000000, CAST(length(h) AS BIGINT), CAST(length(h) AS BIGINT) FROM han",
-    "sentence_split": lambda x: "SELECT doc_id, CAST(idx AS BIGINT) AS sent_idx, s AS sent FROM hsents",
     "paragraph_stats": lambda x: f"SELECT doc_id, count(*) AS n_para, CASE WHEN count(*) < 3 THEN 0 ELSE round(stddev_pop(n) / avg(n), 4) END AS cv FROM (SELECT doc_id, {x.count('s', r'\p{L}')} AS n FROM paras) t GROUP BY doc_id",
-    "transition_density": lambda x: f"SELECT doc_id, CASE WHEN length(h) < 50 THEN 0 ELSE round(1000.0 * n / length(h), 4) END AS density FROM (SELECT docs.doc_id, h, {' + '.join(occurrences('lower(text)', f' {w} ') for w in TRANSITIONS)} AS n FROM docs JOIN letters ON letters.doc_id = docs.doc_id) t",
     "sentence_length": _sentence_length,
     "punct_density": _punct,
     "bigram_entropy": lambda x: f"SELECT doc_id, CASE WHEN total < 9 THEN 5.0 ELSE round(h, 4) END AS entropy FROM ({entropy('doc_id', 'g2')}) t",
@@ -85,17 +66,15 @@ QUERIES = {
     "para_sent_cv": lambda x: f"SELECT doc_id, round(avg(cv), 4) AS value FROM (SELECT doc_id, idx, stddev_pop(n) / avg(n) AS cv FROM ({_inner(x)}) v WHERE n >= 5 GROUP BY doc_id, idx HAVING count(*) >= 3) t GROUP BY doc_id HAVING count(*) >= 2",
     "ngram_train": lambda x: "SELECT 1 AS n, g AS gram, c AS cnt FROM c1_primary UNION ALL SELECT 2, g, c FROM c2_primary UNION ALL SELECT 3, g, c FROM c3_primary",
     "perplexity": lambda x: "SELECT doc_id, round(avg(lp), 4) AS avg_lp, round(power(2, -avg(lp)), 3) AS ppl FROM t_primary GROUP BY doc_id",
-    "unigram_ppl": lambda x: "SELECT doc_id, round(power(2, -avg(log2((c + 0.01) / (total + 0.01 * v)))), 3) AS unigram_ppl FROM (SELECT g1.doc_id, c, (SELECT v FROM v_primary) AS v, (SELECT total FROM v_primary) AS total FROM g1 JOIN c1_primary k ON k.g = g1.g) t GROUP BY doc_id",
     "ppl_windows_burstiness": _windows,
     "gltr_buckets": _buckets,
     "surprisal_moments": _moments,
     "surprisal_autocorr": _autocorrelation,
     "dual_model_diff": lambda x: "SELECT p.doc_id, round(avg(p.lp - h.lp), 4) AS d_human, round(avg(w.lp - h.lp), 4) AS d_wiki_human, round(avg(p.lp - w.lp), 4) AS d_primary_wiki, round(avg(n.lp - h.lp), 4) AS d_news_human, round(avg(n.lp - w.lp), 4) AS d_news_wiki FROM t_primary p JOIN t_human h ON h.doc_id = p.doc_id AND h.pos = p.pos JOIN t_wiki w ON w.doc_id = p.doc_id AND w.pos = p.pos JOIN t_news n ON n.doc_id = p.doc_id AND n.pos = p.pos GROUP BY p.doc_id",
-    "starter_entropy": _starters,
-    "calibration_signals": _signals,
     "emoji_strip": lambda x: f"SELECT doc_id, {x.sub('text', '[' + EMOJI + ']+')} AS body FROM docs",
+    "unigram_bits": lambda x: "SELECT doc_id, -avg(log2((c + 0.01) / (total + 0.01 * v))) AS l FROM (SELECT g1.doc_id, c, (SELECT v FROM v_primary) AS v, (SELECT total FROM v_primary) AS total FROM g1 JOIN c1_primary k ON k.g = g1.g) t GROUP BY doc_id",
+    "trigram_bits": lambda x: "SELECT doc_id, avg(lp) AS l FROM t_primary GROUP BY doc_id",
     "letter_count": lambda x: "SELECT doc_id, length(h) AS n FROM letters",
     "para_count": lambda x: "SELECT doc_id, count(*) AS np FROM paras GROUP BY doc_id",
     "para_sent_n": lambda x: f"SELECT doc_id, count(*) AS psn FROM (SELECT doc_id, idx FROM ({_inner(x)}) v WHERE n >= 5 GROUP BY doc_id, idx HAVING count(*) >= 3) t GROUP BY doc_id",
-    "dialogue_density": lambda x: f"SELECT doc_id, coalesce(round(length({x.join(x.all('text', '“[^”]{3,}”|「[^」]{3,}」'))}) * 1.0 / nullif(length(text), 0), 4), 0) AS value FROM fx",
 }

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.dialect import DuckDB, Spark
-from quillspark.operators import evaluation, features, rules, segments, statistics, texts
+from quillspark.operators import evaluation, segments, statistics, texts
 
-BODIES = statistics.QUERIES | rules.QUERIES | texts.QUERIES | features.QUERIES | evaluation.QUERIES
+BODIES = statistics.QUERIES | texts.QUERIES | evaluation.QUERIES
 TABLES = ("documents", "labels", "conversations", "pages", "benchmark")
 
 
@@ -39,7 +39,7 @@ def _query(name: str):
 
 
 #: names in BODIES that only serve other queries' SQL
-PARTS = ("letter_count", "para_count", "para_sent_n")
+PARTS = ("letter_count", "para_count", "para_sent_n", "unigram_bits", "trigram_bits")
 
 
 def _queries() -> dict:

@@ -381,3 +381,37 @@ def longform() -> str:
 
 def controls() -> str:
     return "SELECT doc_id AS id, 'general' AS scene, lang AS genre, length(text) AS chars, source AS provenance FROM documents WHERE lang IN ('en', 'de') AND length(text) BETWEEN 200 AND 2000 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 50"
+
+
+def bigrams() -> str:
+    from quillspark.plans import catalog
+
+    return f"WITH g AS ({catalog.build('ngram_train', _D)}), v AS (SELECT greatest(count(*), 1000) AS v FROM g WHERE n = 1) SELECT b.gram AS g, round(log2((b.cnt + 0.01) / (a.cnt + 0.01 * (SELECT v FROM v))), 4) AS lp FROM g b JOIN g a ON a.n = 1 AND a.gram = left(b.gram, 1) WHERE b.n = 2"
+
+
+def unigrams() -> str:
+    from quillspark.plans import catalog
+
+    return f"SELECT u.doc_id, unigram_ppl, round(coalesce(power(2, u.lp + p.lp), 0), 4) AS ratio FROM (SELECT doc_id, round(power(2, l), 3) AS unigram_ppl, l AS lp FROM ({catalog.build('unigram_bits', _D)})) u LEFT JOIN (SELECT doc_id, l AS lp FROM ({catalog.build('trigram_bits', _D)})) p USING (doc_id)"
+
+
+def densities() -> str:
+    n = f"length(regexp_replace(t, '[{SPACE}]', '', 'g'))"
+    marks = lambda c: f"({n} - length(translate(regexp_replace(t, '[{SPACE}]', '', 'g'), {lit(c)}, '')))"
+    return f"WITH {BASE} SELECT doc_id, CAST(n AS INTEGER) AS char_count, CASE WHEN {n} > 0 THEN round({marks('，,')} / {n} * 100, 4) ELSE 0 END AS comma_density, CASE WHEN {n} > 0 THEN round({marks(scoring.PUNCTUATION)} / {n} * 100, 4) ELSE 0 END AS punct_density, CASE WHEN n < 50 THEN 0 ELSE round({_sum(LEX['transitions'])} / n * 1000, 4) END AS trans_density FROM base"
+
+
+def repeats() -> str:
+    twice = "len(list_filter(range(2, length(s)), lambda i: s[i] = s[i + 1] AND regexp_matches(s[i - 1:i], '^[一-鿿]{2}$'))) > 0"
+    legit = " OR ".join(f"regexp_matches(s, {lit(p)})" for p in LEX["legit_repeats"][:-1])
+    return f"""WITH {BASE}, p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(t, '[。！？!?\n]+'), lambda x: {strip('x')}), lambda x: length(x) >= 10)) AS s, generate_subscripts(list_filter(list_transform(string_split_regex(t, '[。！？!?\n]+'), lambda x: {strip('x')}), lambda x: length(x) >= 10), 1) - 1 AS idx FROM base WHERE regexp_matches(t, '[一-鿿]')),
+    g AS (SELECT doc_id, idx, i, s[i:i + 1] AS g FROM (SELECT doc_id, idx, s, unnest(range(1, length(s))) AS i FROM p WHERE NOT ({legit} OR {twice}))),
+    d AS (SELECT doc_id, idx, g, i - lag(i) OVER (PARTITION BY doc_id, idx, g ORDER BY i) AS d FROM g WHERE regexp_matches(g, '^[一-鿿]{{2}}$') AND g NOT IN ({', '.join(map(lit, LEX['common_bigrams']))}))
+    SELECT doc_id, CAST(idx AS INTEGER) AS idx, g, count(*) AS n, CAST(min(d) AS INTEGER) AS gap FROM d GROUP BY doc_id, idx, g HAVING min(d) <= 20"""
+
+
+def casual() -> str:
+    t = "t"
+    for a, b in LEX["formal_to_casual"].items():
+        t = f"replace({t}, {lit(a)}, {lit(b)})" if b else f"replace(replace({t}, {lit(a + '，')}, ''), {lit(a)}, '')"
+    return f"WITH {BASE} SELECT doc_id, {t} AS body FROM base"

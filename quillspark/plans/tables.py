@@ -234,12 +234,17 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "academic_issues": (_on(lambda d: detector.issues(academic.dimensions(d))), f"WITH {oracles.BASE}, {oracles.academic()} SELECT doc_id, category, severity, text, cnt FROM dims"),
     "academic_metrics": (_on(lambda d: _rounded(academic.dimensions(d).select("doc_id", "metrics.*"), "entropy", "connector_density")), None),
     "academic_score": (academic_score, oracles.academic_score()),
+    "topic_diffusion": (_on(lambda d: academic.diffusion(d).where("used >= 2").select("doc_id", F.round("value", 4).alias("value"), "used")), f"WITH {oracles.BASE}, {oracles.academic()} SELECT doc_id, round(v, 4) AS value, used FROM diffusion"),
     "indicators": (lambda s, d: scoring.indicators(analyzed(s, d)), f"WITH {oracles.flags()} SELECT doc_id, {', '.join(scoring.INDICATORS)} FROM flags"),
     "feature_vector": (lambda s, d: _rounded(scoring.vector(analyzed(s, d)), *scoring.FEATURES), None),
     "spectral_flatness": (lambda s, d: ngrams.series(docs(s, d), model(s, d, "primary"), own=True).select("doc_id", F.round("flatness", 4).alias("value")), None),
     "curvature": (lambda s, d: _rounded(ngrams.curvature(docs(s, d), model(s, d, "primary"), own=True), "value"), None),
     "secondary_signal": (lambda s, d: scoring.secondary(analyzed(s, d)), None),
     "lr_fit": (lr_fit, None), "lr_score": (lr_score, None), "fused_score": (fused_score, None),
+    "bigram_log_prob": (lambda s, d: _rounded(ngrams.bigram_log_probs(ngrams.table(model(s, d, "primary"), 2).select("g"), model(s, d, "primary")), "lp"), oracles.bigrams()),
+    "unigram_ppl": (_model(lambda d, m: ngrams.unigram_perplexity(d, m, own=True)), oracles.unigrams()),
+    "transition_density": (_on(lambda d: _rounded(scoring.densities(d, alphabet="auto"), "comma_density", "punct_density", "trans_density")), oracles.densities()),
+    "lenient_json": (lambda s, d: dealt(read(s, d, "documents")).select("doc_id", guards.lenient_json(F.concat(F.lit("reply:\n```json\n"), F.to_json(F.struct("doc_id", "lang")), F.lit("\n``` end"))).alias("json")), "SELECT doc_id, CAST(json_object('doc_id', doc_id, 'lang', lang) AS VARCHAR) AS json FROM documents"),
     "genre_route": (_on(scoring.genre), oracles.genre()), "lr_scene": (_on(scoring.scene_of_model), oracles.lr_scene()),
     "scene_models": (scene_models, f"WITH {oracles.BASE} SELECT doc_id, scene, CASE WHEN scene = 'academic' THEN 'academic' WHEN scene IN ('novel', 'longform') OR (scene = 'auto' AND n >= 1500) THEN 'longform' ELSE 'general' END AS model FROM base, (SELECT unnest(['general', 'academic', 'novel', 'longform', 'auto']) AS scene)"),
     "starter_entropy": (_on(lambda d: scoring.starter_entropy(d, "auto").select("doc_id", F.round("starter_entropy", 4).alias("value"))), oracles.starter_entropy()),
@@ -275,6 +280,10 @@ TABLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "compression_ratio": (lambda s, d: _rounded(reports.compression(docs(s, d), read(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), read(s, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), "text")), "ratio"), None),
     "calibration_signals": (lambda s, d: reports.signals(docs(s, d), model(s, d, "primary")), None),
     "reduce_punctuation": (_col("body", rewriting.reduce_punctuation), oracles.semicolons()),
+    "casual_terms": (_col("body", rewriting.casual_words), oracles.casual()),
+    "in_sentence_repeats": (_on(guards.in_sentence_repeats), oracles.repeats()),
+    "han_count": (_on(lambda d: d.select("doc_id", T.size(F.col("text"), "letters").alias("letters"), T.size(F.col("text")).alias("han_n"))), f"WITH {oracles.BASE} SELECT doc_id, CAST(length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS INTEGER) AS letters, CAST(length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS INTEGER) AS han_n FROM base"),
+    "han_entropy": (_on(lambda d: ngrams.entropy(d, "han")), f"WITH {oracles.BASE} SELECT doc_id, CASE WHEN n < 10 THEN 5 ELSE round(entropy, 4) END AS entropy FROM base JOIN ent USING (doc_id) WHERE han UNION ALL SELECT doc_id, 5 FROM base WHERE han AND n BETWEEN 2 AND 9"),
     "formal_strip": (_col("body", lambda t: T.sub(t, r"(?:首先|其次|最后)[，,]\s*|(?:第[一二三四五六]|其[一二三])[，,、]\s*")), f"WITH {oracles.BASE} SELECT doc_id, regexp_replace(t, '(?:首先|其次|最后)[，,]\\s*|(?:第[一二三四五六]|其[一二三])[，,、]\\s*', '', 'g') AS body FROM base"),
     "offline_rewrite": (_on(rewriting.offline), None),
     "guarded_rewrite": (_on(lambda d: rewriting.guarded_rewrite(d, ("remove_enumeration", "replace_phrases", "tidy"))), None),

@@ -149,6 +149,14 @@ DEFAULT: dict = {
     },
     "casual_to_formal": {"很": "较为", "特别": "尤其", "挺": "相对", "蛮": "较为", "说实话": "", "确实": "", "讲真": "", "没想到": "", "说起来": "", "你看": ""},
     "novel_artifacts": [r"我将按照您的", r"按照您的要求", r"根据您(供给|提供)的", r"以下是我(根据|为您|按照)", r"故事梗概", r"本次写作(重点|将|主要)", r"接下来故事(可能|将|会)", r"这是一个关于.{0,20}的故事"],
+    "legit_repeats": ["一[一-鿿]一[一-鿿]", "[一-鿿]来[一-鿿]去", "[一-鿿]前[一-鿿]后", "[一-鿿]+又[一-鿿]+", "越[一-鿿]越[一-鿿]", r"[一-鿿]([一-鿿])\1"],
+    "common_bigrams": [
+        "我们", "他们", "可以", "我的", "你的", "一个", "一种", "一些", "这个", "这些", "那个", "那些", "什么", "怎么", "因为", "所以", "但是", "如果", "虽然", "因此",
+        "然后", "现在", "已经", "正在", "可能", "应该", "需要", "能够", "通过", "关于", "对于", "由于", "不是", "就是", "还有", "或者", "比如", "这样",
+        "那样", "其实", "其中", "其他", "自己", "大家", "一直", "总是", "从来", "从未", "没有", "不过", "而且", "并且", "以及", "而是", "尽管", "只是", "只有",
+        "只要", "为了", "在于", "说明", "表示", "认为", "觉得", "感觉", "希望", "想要", "了一", "一下", "了解", "不仅", "在这", "这种", "研究", "工作", "问题",
+        "时候", "时间", "方面", "方法", "方式", "过程", "阶段", "形成", "出现", "存在", "发展", "提高", "增加", "减少", "改变", "影响", "促进", "推动", "实现", "完成",
+    ],
     "candidate_bans": ["另一边", "以此达到", "这里有一个值得关注的细节"],
 }
 

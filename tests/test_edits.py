@@ -110,6 +110,11 @@ def test_guard(spark):
     assert one(spark, lambda t: guards.defects(F.lit("的的"), t), ["的的在在", "好", "的的的的"]) == [1, 0, 1]
 
 
+def test_repeats_in_sentences(spark):
+    d = texts(spark, ["河边散步的人在河边聊天。", "我们走我们看我们说我们听。", "天" * 5 + "河边" + "地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收" + "河边", "慢慢地走慢慢地看河边和河边", "河边河边"])
+    assert [(r.doc_id, r.g, r.n, r.gap) for r in guards.in_sentence_repeats(d).collect()] == [(0, "河边", 2, 7)]
+
+
 def test_split_places():
     place = lambda s: guards.split_places(s, LEX)
     a, b = "今天下午我们去河边散步", "看见许多人在那里聊天"
