@@ -76,10 +76,10 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long, each once) that connect all those within three bits."""
     # the bits below the block, then those above it in the block's place; the block's number on top
     key = "((fp ^ x.f) & x.low) | (shiftrightunsigned(fp ^ x.f, x.width) & ~x.low) | shiftleft(x.b, 60)"
-    # dealt out first: a small table of fingerprints would be read by a few tasks, which then make all the variants
+    # dealt out first, by another hash than that of the aggregation before it, which would be kept and read by a few tasks
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # only keys and fingerprints are shuffled; the block's value and whether a variant is the fingerprint's own follow from them
-    rows = fps.repartition(n, "fp").select("fp", _balls().alias("x")).select("fp", F.expr(key).alias("key")).repartition(n, "key")
+    rows = fps.repartition(n, F.xxhash64("fp")).select("fp", _balls().alias("x")).select("fp", F.expr(key).alias("key")).repartition(n, "key")
     block = F.shiftrightunsigned("key", 60)
     pick = lambda f: F.coalesce(*[F.when(block == b, f(b, first, width)) for b, (first, width) in enumerate(_BLOCKS)])
     plain = lambda b, first, width: F.expr(f"(fp & {(1 << first) - 1}L) | (shiftrightunsigned(fp, {width}) & ~{(1 << first) - 1}L) | shiftleft({b}L, 60)")
