@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import ngrams, scoring
+from quillspark.operators import ngrams, reports, scoring
 
 HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
 
@@ -170,3 +171,64 @@ def test_models(spark, tmp_path):
 def test_secondary(spark):
     row = spark.createDataFrame([(1, -3.4, 0.6, 0.61, 1.8), (2, 0.0, 9.0, 0.1, 0.0)], "doc_id long, bino_lp_diff double, curv_mean double, char_mattr double, starter_entropy double")
     assert [r.value for r in scoring.secondary(row).orderBy("doc_id").collect()] == [50.0, 100.0]
+
+
+def plain_signals(text, model, words):
+    """The eleven signals of a Han text, one after another."""
+    han = lambda s: "".join(c for c in s if "一" <= c <= "鿿")
+    cv = lambda a: math.sqrt(sum((x - sum(a) / len(a)) ** 2 for x in a) / len(a)) / (sum(a) / len(a))
+    paras = [p.strip() for p in re.split(r"\n\s*\n", text) if len(han(p)) >= 20]
+    many = len(paras) >= 3
+    sents = [[h for s in re.split("[。！？]", p) if len(h := han(s)) >= 5] for p in paras]
+    every = [s for a in sents for s in a]
+    out = dict.fromkeys(reports.SIGNALS)
+    if many:
+        out["paragraph_length_cv"] = cv([len(han(p)) for p in paras])
+        counts = [len(a) for a in sents if a]
+        out["para_sent_count_cv"] = cv(counts) if len(counts) >= 3 else None
+        tf = [Counter(han(p)[i : i + 2] for i in range(len(han(p)) - 1)) for p in paras]
+        df = Counter(g for t in tf for g in t)
+        vec = [{g: n * math.log(len(tf) / df[g]) for g, n in t.items()} for t in tf]
+        norm = [math.sqrt(sum(v * v for v in t.values())) for t in vec]
+        sims = [sum(a[g] * b[g] for g in a.keys() & b.keys()) / (m * n) for a, b, m, n in zip(vec, vec[1:], norm, norm[1:]) if m and n]
+        out["cross_para_tfidf_cohesion"] = sum(sims) / len(sims) if sims else None
+        grams = [{han(p)[i : i + 3] for i in range(len(han(p)) - 2)} for p in paras]
+        union = set().union(*grams)
+        out["cross_para_3gram_repeat"] = sum(sum(g in x for x in grams) >= 2 for g in union) / len(union)
+        density = [len(re.findall("[，。、！？；：“”‘’（）,.!?;:()]", p)) / len(han(p)) for p in paras]
+        out["para_punct_density_cv"] = cv(density) if sum(density) else None
+        inner = [cv([len(s) for s in a]) for a in sents if len(a) >= 3]
+        out["para_sent_len_cv_avg"] = sum(inner) / len(inner) if len(inner) >= 2 else None
+        first, mid = (model.series(h) for h in (han(paras[0]), han(" ".join(paras[1:-1]))))
+        ppl = [2 ** -(sum(x) / len(x)) for x in (first, mid)]
+        out["first_vs_mid_ppl"] = abs(ppl[0] - ppl[1]) / ppl[1]
+    if len(every) >= 5:
+        out["starter3_diversity"] = len({s[:3] for s in every}) / len(every)
+        out["starter2_max_freq"] = max(Counter(s[:2] for s in every).values()) / len(every)
+    h = han(text)
+    if len(h) >= 200:
+        a, b = (Counter(c for c in x if c in words) for x in (h[: len(h) // 2], h[len(h) // 2 :]))
+        share = lambda c, w: (c[w] + 0.5) / ((sum(c.values()) or 1) + 0.5 * len(words))
+        out["function_word_kl"] = sum(share(a, w) * math.log(share(a, w) / share(b, w)) for w in words)
+    lines = [x for x in text.split("\n") if x.strip()]
+    if lines:
+        out["heading_list_density"] = sum(bool(re.match(r"\s*(#{1,6}\s|[-*•]\s|\d+\.\s|（[一二三四五六七八九十]+）|[一二三四五六七八九十]+、)", x)) for x in lines) / len(lines)
+    return out
+
+
+def test_signals(spark):
+    rng = random.Random(6)
+    words = ["的", "了", "是"]
+    sent = lambda: "".join(rng.choice(HAN + "的了是，") for _ in range(rng.randrange(3, 20))) + rng.choice("。！？")
+    rows = [(i, "\n\n".join(rng.choice(("", "# ", "一、")) + "".join(sent() for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(7)))) for i in range(25)] + [(98, None), (99, "短")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ngrams.train(d, "han")
+    plain = Plain(["".join(c for c in t or "" if "一" <= c <= "鿿") for _, t in rows])
+    got = {r.doc_id: r for r in reports.signals(d, model, "han", words).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        want = plain_signals(t or "", plain, words)
+        for k in reports.SIGNALS:
+            assert (got[i][k] is None) == (want[k] is None), (i, k, got[i][k], want[k])
+            assert want[k] is None or abs(got[i][k] - want[k]) < 2e-4, (i, k)
+    assert sum(got[i].first_vs_mid_ppl is not None for i, _ in rows) > 5
