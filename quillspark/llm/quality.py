@@ -188,16 +188,17 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
 
 
 def _featured(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with the ids, at most the ids' documented bound of them, on the driver."""
-    schema = ", ".join(f"f{i} double" for i in range(len(NAMES)))
+    """Features of the documents with the ids, at most the ids' documented bound of them, on the driver, in an order that doesn't depend on partitions."""
+    schema = "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(NAMES)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], names=[f"f{i}" for i in range(len(NAMES))])
+            x = features(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["doc_id", *(f"f{i}" for i in range(len(NAMES)))])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes()).mapInArrow(run, schema)
-    return np.column_stack([c.to_numpy() for c in rows.toArrow().columns])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, schema)
+    columns = [c.to_numpy() for c in rows.toArrow().columns]
+    return np.column_stack(columns[1:])[np.lexsort(columns[::-1])]
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:

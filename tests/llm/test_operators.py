@@ -305,6 +305,14 @@ def test_quality_beats_the_majority_on_few_rows(spark):
     assert sum(r.predicted == r.quality for r in q) > sum(r.quality for r in q)
 
 
+def test_models_depend_on_no_partitions(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    for f in (quality.quality_scores, toxicity.toxicity_scores):
+        a, b = ({r.doc_id: r.score for r in f(x, labels).collect()} for x in (docs, docs.repartition(7)))
+        assert max(abs(a[i] - b[i]) for i in a) < 1e-9, f
+
+
 def test_quality_needs_no_zeros(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
