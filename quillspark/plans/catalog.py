@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.functions.dialect import DuckDB, Spark
-from quillspark.operators import evaluation, segments, statistics, texts
-
-BODIES = statistics.QUERIES | texts.QUERIES | evaluation.QUERIES
-TABLES = ("documents", "labels", "conversations", "pages", "benchmark")
-
-
-def build(name: str, x: Spark, sf_dir: str | None = None, hint: str = "") -> str:
-    """The query with the relations that it uses as common table expressions; tables are read from sf_dir, documents with a hint, or taken as registered."""
-    body, known = BODIES[name](x), segments.relations(x)
-    if sf_dir is not None:
-        known = {t: f"SELECT {hint if t == 'documents' else ''} * FROM parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | known
-    need, todo = set(), [body]
-    while todo:
-        for r in set(re.findall(r"\w+", todo.pop())) & set(known) - need:
-            need.add(r)
-            todo.append(known[r])
-    out = "WITH " + ", ".join(f"{r} AS ({q})" for r, q in known.items() if r in need) + " " + body
-    # decimal literals would give decimal sums and averages of few digits
-    return re.sub(r"('(?:[^']|'')*')|(?<![\w.])(\d+\.\d+)(?![\w.])", lambda m: m[1] or f"CAST({m[2]} AS DOUBLE)", out)
+from quillspark.plans import tables
+from quillspark.plans.bodies import BODIES, PARTS, build
 
 
 def _query(name: str):
@@ -38,26 +19,9 @@ def _query(name: str):
     return run
 
 
-#: names in BODIES that only serve other queries' SQL
-PARTS = ("letter_count", "para_count", "para_sent_n", "unigram_bits", "trigram_bits")
-
-
-def _queries() -> dict:
-    from quillspark.plans import tables
-
-    out = {name: _query(name) for name in BODIES if name not in PARTS}
-    return out | tables.REPLACED | {name: f for name, (f, _) in tables.TABLES.items()}
-
-
-QUERIES = _queries()
+QUERIES = {name: _query(name) for name in BODIES if name not in PARTS} | tables.REPLACED | {name: f for name, (f, _) in tables.TABLES.items()}
 
 
 def oracle() -> dict[str, str]:
-    from quillspark.plans import tables
-
-    out = {name: build(name, DuckDB()) for name in BODIES if name not in PARTS}
-    for name, (_, sql) in tables.TABLES.items():
-        out.pop(name, None)
-        if sql:
-            out[name] = sql
-    return out
+    out = {name: build(name, DuckDB()) for name in BODIES if name not in PARTS and name not in tables.TABLES}
+    return out | {name: sql for name, (_, sql) in tables.TABLES.items() if sql}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.functions.dialect import DuckDB
 from quillspark.functions.text import SPACE
 from quillspark.operators import guards, hygiene, scoring
+from quillspark.plans.bodies import build
 from quillspark.sources import fixtures as fx
 from quillspark.sources import lexicons
 
@@ -110,9 +111,7 @@ def _level(c: str) -> str:
 
 def flags() -> str:
     """`flags`: the indicators as 0/1 columns, for documents, from the statistics' own SQL."""
-    from quillspark.plans import catalog
-
-    q = {k: catalog.build(k, _D) for k in ("perplexity", "ppl_windows_burstiness", "para_entropy_cv", "surprisal_moments", "gltr_buckets", "sentence_length", "punct_density", "para_sent_cv", "letter_count", "para_count", "para_sent_n")}
+    q = {k: build(k, _D) for k in ("perplexity", "ppl_windows_burstiness", "para_entropy_cv", "surprisal_moments", "gltr_buckets", "sentence_length", "punct_density", "para_sent_cv", "letter_count", "para_count", "para_sent_n")}
     c = {
         "low_perplexity": "ppl > 50 AND ppl < 500 AND n >= 200", "low_burstiness": "coalesce(burst, 0) < 0.12 AND coalesce(n_windows, 0) >= 6", "uniform_entropy": "coalesce(pe, 0) < 0.05 AND coalesce(np, 0) >= 3", "low_surprisal_skew": "coalesce(skew, 0) < 1.35 AND n >= 150",
         "low_surprisal_kurt": "coalesce(kurt, 0) < 0.35 AND n >= 150", "high_top10_bucket": "top10 / (top10 + top100 + top1000 + beyond) > 0.21 AND n >= 150", "low_sentence_length_cv": "cv < 0.40 AND sn >= 5",
@@ -384,15 +383,11 @@ def controls() -> str:
 
 
 def bigrams() -> str:
-    from quillspark.plans import catalog
-
-    return f"WITH g AS ({catalog.build('ngram_train', _D)}), v AS (SELECT greatest(count(*), 1000) AS v FROM g WHERE n = 1) SELECT b.gram AS g, round(log2((b.cnt + 0.01) / (a.cnt + 0.01 * (SELECT v FROM v))), 4) AS lp FROM g b JOIN g a ON a.n = 1 AND a.gram = left(b.gram, 1) WHERE b.n = 2"
+    return f"WITH g AS ({build('ngram_train', _D)}), v AS (SELECT greatest(count(*), 1000) AS v FROM g WHERE n = 1) SELECT b.gram AS g, round(log2((b.cnt + 0.01) / (a.cnt + 0.01 * (SELECT v FROM v))), 4) AS lp FROM g b JOIN g a ON a.n = 1 AND a.gram = left(b.gram, 1) WHERE b.n = 2"
 
 
 def unigrams() -> str:
-    from quillspark.plans import catalog
-
-    return f"SELECT u.doc_id, unigram_ppl, round(coalesce(power(2, u.lp + p.lp), 0), 4) AS ratio FROM (SELECT doc_id, round(power(2, l), 3) AS unigram_ppl, l AS lp FROM ({catalog.build('unigram_bits', _D)})) u LEFT JOIN (SELECT doc_id, l AS lp FROM ({catalog.build('trigram_bits', _D)})) p USING (doc_id)"
+    return f"SELECT u.doc_id, unigram_ppl, round(coalesce(power(2, u.lp + p.lp), 0), 4) AS ratio FROM (SELECT doc_id, round(power(2, l), 3) AS unigram_ppl, l AS lp FROM ({build('unigram_bits', _D)})) u LEFT JOIN (SELECT doc_id, l AS lp FROM ({build('trigram_bits', _D)})) p USING (doc_id)"
 
 
 def densities() -> str:
