@@ -28,6 +28,7 @@ from quillspark.llm.util import chunks, fold, hashed_words, materialize, mix, ta
 THRESHOLD = 0.5
 MOST_ROWS = 20_000  # for the curve's few weights
 MOST_ENTRIES = 4_000_000  # of 24 to 40 bytes each
+MOST_IDS = 8_000_000  # labelled ids that are broadcast to the documents; more are joined by a shuffle
 DISCOUNT, WINDOWS = 4, (1, 4)  # the discount is high: of words and pairs seen a few times only, nearly all mass goes to the shared counts
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +179,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int |
     if most is not None:
         parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
         rows = parts[0].union(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(text_bytes().alias("text"), "y")
+    small = most is not None or rows.count() <= MOST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(rows) if small else rows, "doc_id").select(text_bytes().alias("text"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES) -> Scorer | None:
