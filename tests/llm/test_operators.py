@@ -163,6 +163,39 @@ def test_passages_of_a_pair_within_common_words(spark):
     assert all((r.first_word, r.last_word) == (r.other_first_word, r.other_last_word) == (60, 114) for r in out)
 
 
+def test_passages_of_pairs_in_the_middle_of_a_crowd(spark):
+    """All share 44 words, too few for a passage; pairs share six more, or twelve of which one differs, and the first and last are like no one."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(50_000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    common, own = some(44), {}
+    for i in range(10, 34, 2):
+        own[i] = own[i + 1] = some(6)
+    for i in range(40, 64, 2):
+        own[i] = some(12)
+        own[i + 1] = own[i][:5] + some(1) + own[i][6:]
+    rows = [(i, " ".join(some(60) + common + own.get(i, []) + some(60)), "s") for i in range(80)]
+    out = passages.passages(docs_of(spark, rows)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in out} == {frozenset((i, i + 1)) for i in own if i % 2 == 0}
+    assert {(r.doc_id, r.class_id) for r in out} <= {(i, i - i % 2) for i in own}
+
+
+def test_rarest_shingles_by_plain_windows():
+    rng = random.Random(13)
+    least, first = 12, 6
+    text, at, key, n = (np.array(z) for z in zip(*sorted((t, c, rng.randrange(40), rng.randrange(2, 5)) for t in range(30) for c in range(60) if rng.random() < 0.05 * (t % 20)), strict=True))
+    n = key % 4 + 2
+    got = passages.rarest(text, at, key, n, least, first)
+    for t in range(30):
+        here = {int(c): (int(f), int(k)) for x, c, k, f in zip(text, at, key, n, strict=True) if x == t}
+        want = set()
+        for s in range(-least, 60):
+            rank = sorted(here.get(c, (-1, -1)) for c in range(s, s + least))
+            if rank[first - 1] != (-1, -1):
+                want |= {c for c in range(s, s + least) if c in here and here[c] <= rank[first - 1]}
+        assert set(at[got & (text == t)].tolist()) == want, t
+
+
 def test_compact_windows_are_cartesian_nodes():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n)).encode() for n in (300, 20, 120, 60)]
