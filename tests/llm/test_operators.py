@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -180,6 +182,27 @@ def test_passages_of_pairs_in_the_middle_of_a_crowd(spark):
     assert {(r.doc_id, r.class_id) for r in out} <= {(i, i - i % 2) for i in own}
 
 
+def test_passages_of_equal_texts_and_what_they_leave_on_disk(spark):
+    """Copies are linked to the least id, in one class with texts that share a passage; shuffle files go with each step, not at some later time."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(50_000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = some(60)
+    copy = f"{some(80)} {passage} {some(80)}"
+    rows = [(i, copy if i % 4 == 1 else f"{some(60)} {passage} {some(60)}" if i == 6 else some(200), "s") for i in range(400)]
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    left = lambda: sum(f.stat().st_size for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data"))
+    spark._jvm.System.gc()
+    time.sleep(2)
+    docs, before = docs_of(spark, rows), left()
+    out = passages.passages(docs).collect()
+    assert left() - before < 200_000
+    assert {r.doc_id for r in out} == {6, *range(1, 400, 4)}
+    assert {r.class_id for r in out} == {1}
+    assert {(r.other_id, r.first_word, r.last_word, r.similarity) for r in out if r.doc_id > 6} == {(1, 0, 219, 1.0)}
+    assert len(out) <= 110
+
+
 def test_rarest_shingles_by_plain_windows():
     rng = random.Random(13)
     least, first = 12, 6
