@@ -15,11 +15,13 @@ from functools import cache
 from hashlib import blake2b
 from math import exp, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.rowwise import added
 
 # Code points and ranges of each class, in order of precedence where classes overlap.
 TAGS = ((0xE0001, 0xE007F),)
@@ -80,12 +82,14 @@ def _class(ranges: tuple) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
+#: the code points that a rule acts on, as a class without its brackets; none is ASCII
+ACTED_ON = _class(TAGS + RESERVED + PRIVATE + SELECTORS + MONGOLIAN + BIDI + ZERO_WIDTH + OTHER + SPACES + LOOK_ALIKE + ((0xFDD0, 0xFDEF),)) + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(1, 17)) + "\\x{FFFE}\\x{FFFF}"
+
+
 def suspicious(t: Column, fullwidth: bool = False, confusables: bool = False) -> Column:
     """Whether any rule could act on the text."""
-    ranges = TAGS + RESERVED + PRIVATE + SELECTORS + MONGOLIAN + BIDI + ZERO_WIDTH + OTHER + SPACES + LOOK_ALIKE + ((0xFDD0, 0xFDEF),)
-    ends = "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(1, 17)) + "\\x{FFFE}\\x{FFFF}"
     more = ("\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}" if fullwidth else "") + ("".join(CONFUSABLE) if confusables else "")
-    return t.rlike(f"[{_class(ranges)}{ends}{more}\\p{{Cf}}]")
+    return t.rlike(f"[{ACTED_ON}{more}\\p{{Cf}}]")
 
 
 def flag_tags(text: str) -> set[int]:
@@ -180,23 +184,43 @@ def fold(t: Column) -> Column:
     return F.translate(t, "".join(look_alikes()), "".join(look_alikes().values()))
 
 
+def survived(before: str, after: str, widths: tuple[int, ...]) -> list[int]:
+    """For each width in turn the windows before, those of them that are left, and the windows after."""
+    b, a = (np.frombuffer("".join(re.split("[ \t\r\n\u3000]+", t)).encode("utf-32-le"), np.uint32) for t in (before, after))
+    alphabet, ids = np.unique(np.concatenate([b, a]), return_inverse=True)
+    own = used = max(1, len(alphabet).bit_length())
+    keys, out = ids.astype(np.int64), {}
+    for w in range(1, max(widths) + 1):
+        if w > 1 and len(keys):
+            if used + own > 63:
+                # the windows so far by their ranks, which need fewer bits
+                keys, used = np.unique(keys, return_inverse=True)[1], len(keys).bit_length()
+            keys, used = (keys[:-1] << own) | ids[w - 1 :], used + own
+        if w in widths:
+            # windows over the seam of both texts belong to neither
+            (kb, nb), (ka, na) = (np.unique(x, return_counts=True) for x in (keys[: max(len(b) - w + 1, 0)], keys[len(b) :]))
+            at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+            left = np.minimum(nb, np.where(ka[at] == kb, na[at], 0)).sum() if len(ka) else 0
+            out[w] = int(nb.sum()), int(left), int(na.sum())
+    return [x for w in widths for x in out[w]]
+
+
+def kinds(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, n): the characters that a rule strips by themselves, counted by class; only they become rows."""
+    rest = T.sub(T.sub(F.coalesce("text", F.lit("")), "[\\x00-\\x7f]+"), f"[^{ACTED_ON}]+")
+    rows = docs.select("doc_id", rest.alias("rest")).where("rest <> ''").select("doc_id", F.explode(T.chars(F.col("rest"))).alias("c"))
+    return rows.select("doc_id", kind_column(F.expr("ascii(c)")).alias("kind")).where("kind IS NOT NULL").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
 def survival(pairs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(pair_id, width, total, kept, after_total, survival, z_ratio) of pairs (pair_id, before, after): windows of `width` characters, white space dropped, as multisets.
 
-    Both sides are counted together by window, so no join is needed. Pairs without any window of a width have a row of zeros.
+    Both sides are counted where the pair is, so no window becomes a row. Pairs without any window of a width have a row of zeros.
     """
-    skip = lambda c: F.translate(F.coalesce(c, F.lit("")), " \t\r\n　", "")
-    p = pairs.select("pair_id", skip("before").alias("b"), skip("after").alias("a")).repartition("pair_id")
-    # one gram of the greatest width at each place, padded at the end; narrower windows are its beginnings
-    most = max(widths)
-    gram = lambda c: F.explode(T.grams(F.concat(c, F.lit("\u0001" * (most - 1))), most)).alias("g")
-    sides = [p.where(f"{c} <> ''").select("pair_id", gram(F.col(c)), F.lit(side).alias("side")) for c, side in (("b", 0), ("a", 1))]
-    n = sides[0].union(sides[1]).groupBy("pair_id", "g").agg(F.sum(1 - F.col("side")).alias("b"), F.sum("side").alias("a"))
-    n = n.select("pair_id", "b", "a", "g", F.explode(F.array(*map(F.lit, widths))).alias("width")).withColumn("g", F.left("g", F.col("width"))).where(~F.endswith("g", F.lit("\u0001")))
-    n = n.groupBy("pair_id", "width", "g").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    n = n.groupBy("pair_id", "width").agg(F.sum("b").alias("total"), F.sum(F.least("b", "a")).alias("kept"), F.sum("a").alias("after_total"))
-    every = pairs.select("pair_id", F.explode(F.array(*map(F.lit, widths))).alias("width"))
-    n = every.join(n, ["pair_id", "width"], "left").fillna(0, ["total", "kept", "after_total"])
+    kept = ", ".join(f"total{w} long, kept{w} long, after{w} long" for w in widths)
+    sides = pairs.select("pair_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")])
+    n = added(sides, ("before", "after"), lambda b, a: survived(b, a, widths), kept, ("before", "after"))
+    n = n.select("pair_id", F.inline(F.array(*[F.struct(F.lit(w).alias("width"), F.col(f"total{w}").alias("total"), F.col(f"kept{w}").alias("kept"), F.col(f"after{w}").alias("after_total")) for w in widths])))
     share = F.when(F.col("total") > 0, F.col("kept") / F.col("total")).otherwise(0.0)
     z = F.when((F.col("kept") > 0) & (F.col("after_total") > 0), F.col("kept") / F.sqrt(F.col("total").cast("double") * F.col("after_total"))).otherwise(0.0)
     return n.select("pair_id", "width", "total", "kept", "after_total", F.round(share, 4).alias("survival"), F.round(z, 4).alias("z_ratio"))
