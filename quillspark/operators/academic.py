@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from itertools import pairwise
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,8 @@ def alike(paragraphs: list[str]) -> tuple[float, int]:
     # equal counts stay in the order of their first places
     tops = [{a + b for (a, b), _ in Counter(zip(h, h[1:], strict=False)).most_common(TOP)} for h in paragraphs]
     shares = [len(a & b) / len(a | b) for a, b in pairwise(tops)]
-    return 1 - (sum(shares) / len(shares) if shares else 0.0), len(tops)
+    # added one by one, as engines do: sum() would carry rounding errors along, and ties of the fourth digit would go the other way
+    return 1 - (reduce(add, shares) / len(shares) if shares else 0.0), len(tops)
 
 
 def dimensions(docs: DataFrame, lex: dict | None = None, alphabet: str = "auto") -> DataFrame:
